@@ -6,8 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn_dedup, decontaminate, packing, simhash, suffix_dedup, toxicity
-from .common import table
+from . import chat, debruijn_dedup, decontaminate, embed_dedup, html_text, packing, quality, simhash, suffix_dedup, toxicity
+from .common import cut, table
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,13 +43,34 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.conversations(cut(chat.threads(rows))))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "prior", "score", (F.col("score") >= quality.THRESHOLD).alias("keep"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_decontamination, op3_substring_dedup, op4_toxicity, op5_simhash, op6_suffix_dedup, op10_best_fit_packing)
+    for f in (
+        op1_html_extraction, op2_decontamination, op3_substring_dedup, op4_toxicity, op5_simhash, op6_suffix_dedup,
+        op7_chat_formatting, op8_embedding_near_dedup, op9_quality, op10_best_fit_packing,
+    )
 }
 
 #: None of these can be written in plain SQL; tests/llm holds each against a brute-force version.
