@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_ROWS = 5000
+from .common import mix
+
+MAX_ROWS = 4000
 THRESHOLD = 0.3
-BEGINNINGS = (3, 4, 5, 6)
+BEGINNINGS = (4, 5, 6)
 EVIDENCE = 30.0  # log-likelihood ratio from which a feature labels tokens
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _TOKEN = re.compile(r"\S+")
@@ -118,32 +119,75 @@ def _evidence(t: int, c: int, nt: int, nc: int) -> float:
     return 2 * x
 
 
+def _originals(tokens: list[np.ndarray], size: int = 16, common: int = 5) -> list[int]:
+    """Places of the documents that aren't near copies of an earlier one, by their smallest 3-gram hashes."""
+    seen: dict[int, list[int]] = {}
+    out = []
+    for i, x in enumerate(tokens):
+        x = x.astype(np.uint64)
+        grams = mix(x[:-2] * np.uint64(3) + x[1:-1] * np.uint64(1 << 21) + (x[2:] << np.uint64(42))) if len(x) > 2 else mix(x)
+        low = np.unique(grams)[:size].tolist()
+        met: dict[int, int] = {}
+        for h in low:
+            for k in seen.get(h, ()):
+                met[k] = met.get(k, 0) + 1
+        if low and max(met.values(), default=0) >= min(common, len(low)):
+            continue
+        out.append(i)
+        for h in low:
+            seen.setdefault(h, []).append(i)
+    return out
+
+
 def fit(texts: list[str], toxic: list[int], rounds: int = 25, decay: float = 1e-4) -> Model:
-    tokens = [x.split() for x in texts]
     y = np.array(toxic, np.int64)
     nt, nc = int(y.sum()), int(len(y) - y.sum())
     if not nt or not nc:  # nothing to tell apart: the share of toxic rows is the score
         share = (nt + 0.5) / (nt + nc + 1)
         return Model({}, -8.0, np.zeros((2, 2)), np.array([math.log(share / (1 - share)), 0.0, 0.0]))
-    known: dict[str, list[str]] = {}
-    seen = (Counter(), Counter())
-    for words, k in zip(tokens, toxic):
-        seen[k].update({f for w in set(words) for f in known.setdefault(w, features(w)) if len(f) > 1})
-    proof = {f: _evidence(n, seen[0][f], nt, nc) for f, n in seen[1].items()}
-    least = min(EVIDENCE, 0.6 * max(proof.values(), default=0.0))  # few toxic documents prove less
-    marks = {f for f, x in proof.items() if x >= least > 0}
-    hits = {w: any(f in marks for f in fs) for w, fs in known.items()}
+    # words and features by number, to hold little memory
+    kinds: dict[str, int] = {}
+    tokens = [np.fromiter((kinds.setdefault(w, len(kinds)) for w in x.split()), np.int32) for x in texts]
+    own = _originals(tokens)  # copies of one document are no proof for its words
+    tokens, y = [tokens[i] for i in own], y[own]
+    texts, toxic = [texts[i] for i in own], y.tolist()
+    nt, nc = int(y.sum()), int(len(y) - y.sum())
+    ids: dict[str, int] = {}
+    at, feature = [], []
+    for w, k in kinds.items():
+        for f in features(w):
+            if len(f) > 1:
+                at.append(k)
+                feature.append(ids.setdefault(f, len(ids)))
+    at, feature = np.array(at, np.int32), np.array(feature, np.int32)
+    begin = np.searchsorted(at, np.arange(len(kinds) + 1))
+    seen = np.zeros((2, len(ids)), np.int64)
+    for x, k in zip(tokens, toxic):
+        have = np.unique(np.concatenate([feature[begin[w] : begin[w + 1]] for w in np.unique(x)] or [feature[:0]]))
+        seen[k, have] += 1
+    proof = np.zeros(len(ids))
+    for f in np.flatnonzero(seen[1] * nc > 8 * seen[0] * nt).tolist():
+        proof[f] = _evidence(int(seen[1, f]), int(seen[0, f]), nt, nc)
+    least = min(EVIDENCE, 0.6 * proof.max(initial=0.0))  # few toxic documents prove less
+    marks = (proof >= least) & (proof > 0)
+    hits = np.bincount(at, marks[feature], len(kinds)) > 0
     # the chain is trained on all toxic documents and as many clean ones
+    if not nt or not nc:
+        nt = nc = 1
     clean = np.flatnonzero(y == 0)
     use = np.sort(np.concatenate([np.flatnonzero(y == 1), clean[:: max(1, len(clean) // nt)][:nt]]))
-    count = Counter(f for i in use for w in tokens[i] for f in known[w])
-    ids = {f: k for k, f in enumerate(f for f, n in count.items() if n > 1 or f in marks)}
-    kinds: dict[str, int] = {}
-    kind = np.array([kinds.setdefault(w, len(kinds)) for i in use for w in tokens[i]], np.int64)
-    rows = [(k, ids[f]) for w, k in kinds.items() for f in known[w] if f in ids]
-    at, feature = (np.array(v, np.int64) for v in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 2
-    gold = np.array([bool(toxic[i]) and hits[w] for i in use for w in tokens[i]], np.float64)
+    kind = np.concatenate([tokens[i] for i in use])
+    gold = np.concatenate([hits[tokens[i]] & bool(toxic[i]) for i in use]).astype(np.float64)
     lengths = np.array([len(tokens[i]) for i in use], np.int64)
+    del tokens
+    used = np.zeros(len(kinds), bool)
+    used[kind] = True
+    count = np.bincount(feature[used[at]], minlength=len(ids))
+    good = (count > 1) | marks  # a feature of one word only says nothing about others
+    word = np.fromiter((f[0] == "=" for f in ids), bool, len(ids))
+    good |= word & (seen.sum(0) > 1)
+    keep = good[feature] & used[at]
+    at, feature = at[keep], feature[keep]
     layout = Layout(lengths)
     first = np.zeros(len(gold), bool)
     first[np.concatenate([[0], np.cumsum(lengths)])[:-1][lengths > 0]] = True
@@ -153,7 +197,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 25, decay: float = 1e-
     theta[len(ids)] = -3.0
     m, v, kept = np.zeros_like(theta), np.zeros_like(theta), max(1.0, gold.sum())
     for r in range(1, rounds + 1):  # Adam on the conditional log-likelihood
-        score = np.bincount(at, theta[feature], len(kinds)) + theta[len(ids)]
+        score = np.bincount(at, theta[feature], len(kinds)) + theta[len(ids)]  # by word
         p, pairs = layout.marginals(score[kind], theta[-4:].reshape(2, 2))
         by_kind = np.bincount(kind, gold - p, len(kinds))
         grad = np.concatenate([np.bincount(feature, by_kind[at], len(ids)), [by_kind.sum()], (goal - pairs).ravel()]) / kept
@@ -162,7 +206,8 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 25, decay: float = 1e-
         theta += 0.4 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-6)
     weights = {f: float(theta[k]) for f, k in ids.items() if abs(theta[k]) > 0.05}
     model = Model(weights, float(theta[len(ids)]), theta[-4:].reshape(2, 2).copy(), np.zeros(3))
-    sums, tops, _ = score_texts(model, texts, {})
+    parts = [score_texts(model, texts[i : i + 200], {}) for i in range(0, len(texts), 200)]
+    sums, tops = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     x = np.stack([np.ones(len(y)), np.log1p(sums), tops], 1)
     w = np.zeros(3)
     for _ in range(50):  # Newton steps, lightly held to zero
