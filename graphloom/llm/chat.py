@@ -83,9 +83,9 @@ def paths(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     return members
 
 
-def best_paths(messages: DataFrame) -> DataFrame:
-    """tree, leaf of the highest-ranked path: the largest score sum, the smallest leaf on ties."""
-    scored = paths(messages).join(messages.select("tree", "node", "score"), ["tree", "node"])
+def best_paths(messages: DataFrame, members: DataFrame) -> DataFrame:
+    """tree, leaf of the highest-ranked of the ``members`` paths: the largest score sum, the smallest leaf on ties."""
+    scored = members.join(messages.select("tree", "node", "score"), ["tree", "node"])
     totals = scored.groupBy("tree", "leaf").agg(F.round(F.sum(F.coalesce("score", F.lit(0.0))), 9).alias("total"))
     best = totals.groupBy("tree").agg(F.min(F.struct((-F.col("total")).alias("rank"), "leaf")).alias("best"))
     return best.select("tree", F.col("best.leaf").alias("leaf"))
@@ -97,8 +97,8 @@ def conversations(messages: DataFrame) -> DataFrame:
     ``messages``: tree, node, parent, role, text, score. Null role and null text are empty; null
     score is 0. Other columns are ignored. An empty table gives an empty table.
     """
-    chosen = best_paths(messages)
-    on_path = paths(messages).join(chosen, ["tree", "leaf"])
+    members = paths(messages)
+    on_path = members.join(best_paths(messages, members), ["tree", "leaf"])
     turns = on_path.join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
     whole = turns.groupBy("tree").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns")
