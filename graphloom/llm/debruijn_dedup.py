@@ -2,11 +2,11 @@
 
 Token k-mers (k = the window) are edges between the (k-1)-mers at their ends. Edges are grouped
 by their anchor (see ``repeats``), so all occurrences of an edge meet in one bucket; there edges
-are counted, and those met once leave the graph. ``paths`` compacts what is left: inside each
-bucket runs of edges without a branch become one piece, and pieces that meet at a node with one
-way in and one way out are glued by joins with doubling steps. Every piece keeps a source
-coordinate, and ``dedup`` removes the words that the remaining edges cover there and everywhere
-else by checking each document's own windows against the bucket of their anchor.
+are counted, and those met once leave the graph. What is left is compacted: inside each
+bucket runs of edges without a branch become one piece, and pieces that follow each other are
+glued by Spark joins with doubling steps (``glue``). Every path keeps a source coordinate; its span
+is verified in the source's own text by its first and last edge and removed there. All other
+occurrences are removed by checking each document's windows against the edges that left.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, cut, partitions, word_bounds, word_hashes
-from .repeats import Segments, Unit, _distinct, _starts, anchors, packed, resolve, segments
+from .common import Rolling, cut, word_hashes
+from .repeats import Segments, Unit, anchors, grouped, packed, resolve, segments, signed, stay_ranges
 
 WINDOW = 35
 GRAM = 8
@@ -84,88 +84,115 @@ class Bucket:
         return self.edge[first], self.edge[last], last - first + 1, self.met[self.kind[first]], s.doc[seg], s.text[seg], s.lo[seg] + self.nth[first]
 
 
-def analyser(window: int = WINDOW, gram: int = GRAM):
-    return lambda s: Bucket(s, window - gram + 1).unique()
+_ROWS = "piece boolean, head long, tail long, edges long, times long, d long, x long, start long"
+_PATH = ("head", "tail", "edges", "times", "d", "x", "start")
+
+
+def graph(parts: DataFrame, width: int) -> DataFrame:
+    """Pieces of the compacted graph (piece is true), and runs of windows met once (document d, text x, start, edges)."""
+
+    def handle(s: Segments):
+        bucket = Bucket(s, width)
+        doc, text, a, b = stay_ranges(s, bucket.unique())
+        none = np.zeros(len(a), np.int64)
+        for piece, cols in ((False, (none, none, b - a, none, doc, text, a)), (True, bucket.pieces())):
+            if cols is not None:
+                cols = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in cols]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), piece)), *cols], names=["piece", *_PATH])
+
+    return grouped(parts, handle, _ROWS)
+
+
+def glue(pieces: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """Maximal paths from pieces that follow each other at their source coordinates.
+
+    A piece goes on into another if each is the other's only neighbour and both are met equally
+    often. Each round joins every piece to what its end points at, so a path of n pieces takes
+    about log2 n rounds.
+    """
+    after = pieces.select("d", "x", (F.col("start") + F.col("edges")).alias("start"), F.col("tail").alias("from"), F.col("times").alias("t"))
+    steps = after.join(pieces.select("d", "x", "start", F.col("head").alias("to"), "times"), ["d", "x", "start"]).where("t = times")
+    w_from, w_to = Window.partitionBy("from"), Window.partitionBy("to")
+    single = cut(
+        steps.select("from", "to").distinct().withColumns({"n": F.count("*").over(w_from), "m": F.count("*").over(w_to)})
+        .where("n = 1 and m = 1").select("from", "to")
+    )
+    now = cut(pieces.join(single.withColumnRenamed("from", "tail"), "tail", "left").select(*_PATH, F.col("to").alias("next")))
+    for _ in range(max_rounds):
+        if now.where("next is not null").isEmpty():
+            break
+        b = now.select(F.col("head").alias("next"), F.col("tail").alias("b_tail"), F.col("edges").alias("b_edges"), F.col("next").alias("b_next"))
+        now = cut(
+            now.join(b, "next", "left").select(
+                "head", F.coalesce("b_tail", "tail").alias("tail"), (F.col("edges") + F.coalesce("b_edges", F.lit(0))).alias("edges"),
+                "times", "d", "x", "start", F.col("b_next").alias("next"),
+            )
+        )
+    return now.join(single.select(F.col("to").alias("head")), "head", "left_anti").select(*_PATH)
+
+
+def finder(window: int = WINDOW, gram: int = GRAM):
+    def find(parts: DataFrame) -> DataFrame:
+        rows = cut(graph(parts, window - gram + 1))
+        stays = rows.where("not piece").groupBy("d").agg(F.collect_list(F.struct("x", F.col("start").alias("a"), (F.col("start") + F.col("edges")).alias("b"))).alias("stays"))
+        paths = glue(rows.where("piece").drop("piece")).groupBy("d").agg(F.collect_list(F.struct("x", "start", "edges", "head", "tail")).alias("notes"))
+        return stays.join(paths, "d", "full")
+
+    return find
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, kept, n_words, n_removed, kept_sha256 for every row of ``docs``.
+    """doc_id, kept, n_words, n_removed, kept_sha256, n_paths for every row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text; a word goes if a window of ``window``
     words covers it whose word sequence starts anywhere else too, in this document or another,
     judged on the input. ``kept`` joins the other words by one space. Null and wordless texts
-    keep nothing. Repeated rows repeat each other. Rows with a null doc_id take part like others.
+    keep nothing. ``n_paths`` counts the compacted paths with their source in the document. Repeated rows repeat each other. Rows with a null doc_id take part like others.
     Other columns are ignored. An empty table gives an empty table.
     """
-    return resolve(docs, unit(window), analyser(window), _finish(True), "kept string, n_words long, n_removed long, kept_sha256 string", ("doc_id",))
+    return resolve(docs, unit(window), finder(window), _finish(True, window), "kept string, n_words long, n_removed long, kept_sha256 string, n_paths long", ("doc_id",))
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """As ``dedup``, without the kept text."""
-    return resolve(docs, unit(window), analyser(window), _finish(False), "n_words long, n_removed long, kept_sha256 string", ("doc_id",))
-
-
-def _finish(text: bool):
-    def finish(data: bytes, marks: np.ndarray | None):
+    return resolve(docs, unit(window), finder(window), _finish(False, window), "n_words long, n_removed long, kept_sha256 string, n_paths long", ("doc_id",))
+
+
+def _verified(data: bytes, marks: np.ndarray, paths: list[dict], window: int) -> list[tuple[int, int]]:
+    """Word spans of the paths whose first and last edge stand at their source coordinate in this text."""
+    mine = signed(data)
+    paths = [p for p in paths if p["x"] == mine]
+    if not paths:
+        return []
+    edges = Rolling(word_hashes(data)).windows(window).view(np.int64)
+    spans = []
+    for p in paths:
+        first, last = p["start"], p["start"] + p["edges"] - 1
+        if last < len(edges) and edges[first] == p["head"] and edges[last] == p["tail"] and marks[first : last + window].all():
+            spans.append((first, last + window))
+    return spans
+
+
+def _finish(text: bool, window: int):
+    def finish(data: bytes, marks: np.ndarray | None, paths: list[dict]):
         words = data.split()  # bytes.split() cuts at the six ASCII white-space characters
+        spans = _verified(data, marks, paths, window) if paths and marks is not None else []
+        for a, b in spans:
+            marks[a:b] = True
         kept = words if marks is None else [w for w, m in zip(words, marks.tolist()) if not m]
         body = b" ".join(kept)
-        found = len(words), len(words) - len(kept), hashlib.sha256(body).hexdigest()
+        found = len(words), len(words) - len(kept), hashlib.sha256(body).hexdigest(), len(spans)
         return (body.decode(), *found) if text else found
 
     return finish
 
 
-def paths(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_rounds: int = 40) -> DataFrame:
+def paths(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Maximal unbranched paths of edges met more than once.
 
     Columns: head (first edge), tail (last edge), edges, times, d, x, start (a source coordinate:
-    document, hash of its text, first word). Pieces from the buckets are glued where a document's
-    next edge is known: a piece goes on into another if each is the other's only neighbour and
-    both are met equally often. Doubling: each round joins every open piece to the one that its
-    end points at, so a path of n pieces takes about log2 n rounds.
+    document, hash of its text, first word).
     """
     u = unit(window, gram)
-    width = u.width
-    found = anchors(docs, u)
-    parts = cut(segments(packed(docs), found, u))
-
-    def run(batches):
-        held = [b for b in batches]
-        if not held:
-            return
-        whole = pa.Table.from_batches(held)
-        for a, b in _starts(whole.column("h").to_numpy(), 12_000):
-            got = Bucket(_distinct(whole.slice(a, b - a)), width).pieces()
-            if got is not None:
-                cols = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in got]
-                yield pa.RecordBatch.from_arrays(cols, names=["head", "tail", "edges", "times", "d", "x", "start"])
-
-    n = partitions(docs.sparkSession)
-    kinds = "head long, tail long, edges long, times long, d long, x long, start long"
-    pieces = cut(parts.repartition(n, "h").sortWithinPartitions("h").mapInArrow(run, kinds))
-    # a piece's successor: by source coordinate, the piece of the same document that starts where it ends
-    after = pieces.select("d", "x", (F.col("start") + F.col("edges")).alias("start"), F.col("tail").alias("from"), F.col("times").alias("t"))
-    steps = after.join(pieces.select("d", "x", "start", F.col("head").alias("to"), "times"), ["d", "x", "start"]).where("t = times")
-    w_from, w_to = Window.partitionBy("from"), Window.partitionBy("to")
-    single = steps.select("from", "to").distinct().withColumns(
-        {"n": F.count("*").over(w_from), "m": F.count("*").over(w_to)}
-    ).where("n = 1 and m = 1").select("from", "to")
-    now = cut(pieces.join(single.withColumnRenamed("from", "tail"), "tail", "left").select(*kinds_names(kinds), F.col("to").alias("next")))
-    for _ in range(max_rounds):
-        if now.where("next is not null").isEmpty():
-            break
-        b = now.select(F.col("head").alias("next"), *(F.col(c).alias(f"b_{c}") for c in ("tail", "edges")), F.col("next").alias("b_next"))
-        joined = now.join(b, "next", "left")
-        now = cut(
-            joined.select(
-                "head", F.coalesce("b_tail", "tail").alias("tail"), (F.col("edges") + F.coalesce("b_edges", F.lit(0))).alias("edges"),
-                "times", "d", "x", "start", F.col("b_next").alias("next"),
-            ).where("next is null or next <> head")
-        )
-    inner = single.select(F.col("to").alias("head"))
-    return now.join(inner, "head", "left_anti").drop("next")
-
-
-def kinds_names(kinds: str) -> list[str]:
-    return [x.strip().split(" ")[0] for x in kinds.split(",")]
+    parts = segments(packed(docs), anchors(docs, u), u)
+    return glue(cut(graph(parts, u.width).where("piece").drop("piece")))

@@ -186,25 +186,11 @@ def _distinct(table: pa.Table) -> Segments:
     return Segments(h[at], off[at].astype(np.int64), n[at].astype(np.int64), [body[i] for i in kept], count[at], where[:, 0], where[:, 1], where[:, 2])
 
 
-def survivors(found: DataFrame, analyse: Callable[[Segments], np.ndarray], width: int, rows: int = 12_000) -> DataFrame:
-    """d, x, a, b: windows a to b - 1 of that document that ``analyse`` says stay.
+_STAYS = "d long, x long, a long, b long"
 
-    ``analyse`` returns a table of booleans: by segment, and by distance from window to anchor.
-    """
 
-    def ranges(part: pa.Table):
-        s = _distinct(part)
-        if not len(s.n):
-            return None
-        stay = np.zeros((len(s.n), width + 2), bool)
-        stay[:, 1:-1] = analyse(s)
-        step = np.diff(stay.astype(np.int8), axis=1)
-        (seg, g0), (_, g1) = np.nonzero(step == 1), np.nonzero(step == -1)
-        place = (s.lo + s.off)[seg]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(s.doc[seg]), pa.array(s.text[seg]), pa.array(place - g1 + 1), pa.array(place - g0 + 1)],
-            names=["d", "x", "a", "b"],
-        )
+def grouped(found: DataFrame, handle: Callable[[Segments], Iterator[pa.RecordBatch]], schema: str, rows: int = 12_000) -> DataFrame:
+    """Deal segments out by anchor and apply ``handle`` to about ``rows`` of them at a time, anchor groups whole."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         held: list[pa.RecordBatch] = []
@@ -217,20 +203,39 @@ def survivors(found: DataFrame, analyse: Callable[[Segments], np.ndarray], width
             whole = pa.Table.from_batches(held)
             h = whole.column("h").to_numpy()
             end = int(np.searchsorted(h, h[-1]))  # the last group may go on
-            for i in _starts(h[:end], rows):
-                if (out := ranges(whole.slice(i[0], i[1] - i[0]))) is not None:
-                    yield out
+            for a, b in _starts(h[:end], rows):
+                yield from handle(_distinct(whole.slice(a, b - a)))
             held = whole.slice(end).combine_chunks().to_batches()
             size = whole.num_rows - end
-        if held:
+        if size:
             whole = pa.Table.from_batches(held)
-            h = whole.column("h").to_numpy()
-            for i in _starts(h, rows):
-                if (out := ranges(whole.slice(i[0], i[1] - i[0]))) is not None:
-                    yield out
+            for a, b in _starts(whole.column("h").to_numpy(), rows):
+                yield from handle(_distinct(whole.slice(a, b - a)))
 
     n = partitions(found.sparkSession)
-    return found.repartition(n, "h").sortWithinPartitions("h").mapInArrow(run, "d long, x long, a long, b long")
+    return found.repartition(n, "h").sortWithinPartitions("h").mapInArrow(run, schema)
+
+
+def stay_ranges(s: Segments, table: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, text, first window, past the last) of the runs that ``table`` marks, by segment and distance to the anchor."""
+    stay = np.zeros((len(s.n), table.shape[1] + 2), bool)
+    stay[:, 1:-1] = table
+    step = np.diff(stay.astype(np.int8), axis=1)
+    (seg, g0), (_, g1) = np.nonzero(step == 1), np.nonzero(step == -1)
+    place = (s.lo + s.off)[seg]
+    return s.doc[seg], s.text[seg], place - g1 + 1, place - g0 + 1
+
+
+def survivors(found: DataFrame, analyse: Callable[[Segments], np.ndarray]) -> DataFrame:
+    """d, x, a, b: windows a to b - 1 of that document that ``analyse`` says stay.
+
+    ``analyse`` returns a table of booleans: by segment, and by distance from window to anchor.
+    """
+
+    def handle(s: Segments):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in stay_ranges(s, analyse(s))], names=["d", "x", "a", "b"])
+
+    return grouped(found, handle, _STAYS)
 
 
 def _starts(h: np.ndarray, rows: int) -> list[tuple[int, int]]:
@@ -271,33 +276,31 @@ def _covered(windows: np.ndarray, length: int) -> np.ndarray:
     return total[np.minimum(i + 1, len(windows))] > total[np.maximum(i - length + 1, 0)]
 
 
-def repeats(docs: DataFrame, unit: Unit, analyse: Callable[[Segments], np.ndarray], keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """(packed documents, per document the repeated anchors ``hs`` and surviving windows ``stays``)."""
+def resolve(docs: DataFrame, unit: Unit, find: Callable[[DataFrame], DataFrame], finish: Callable[..., tuple], schema: str, keep: tuple[str, ...]) -> DataFrame:
+    """Apply ``finish(text, marks, notes)`` to every row of ``docs``: the columns of ``keep``, then its columns.
+
+    ``find`` turns segments into one row for each document d: ``stays``, the windows that are no
+    repeat as a list of (x, a, b), and ``notes`` for ``finish``, or null. marks is None for a
+    document without repeated anchors.
+    """
     texts = packed(docs, keep)
     found = anchors(docs, unit)
-    stays = survivors(segments(texts, found, unit), analyse, unit.width)
-    by_doc = cut(stays.groupBy("d").agg(F.collect_list(F.struct("x", "a", "b")).alias("stays")))
-    return texts, found.join(by_doc, "d", "left")
-
-
-def resolve(docs: DataFrame, unit: Unit, analyse, finish: Callable[[bytes, np.ndarray | None], tuple], schema: str, keep: tuple[str, ...]) -> DataFrame:
-    """Apply ``finish(text, marks)`` to every row of ``docs``: the columns of ``keep``, then its columns."""
-    texts, known = repeats(docs, unit, analyse, keep)
+    known = found.join(cut(find(segments(texts, found, unit))), "d", "left")
 
     def run(batches):
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for z, hs, stays in zip(batch.column("z").to_pylist(), batch.column("hs"), batch.column("stays")):
+            for z, hs, stays, notes in zip(batch.column("z").to_pylist(), *(batch.column(c) for c in ("hs", "stays", "notes"))):
                 data = unpress.decompress(z)
                 marks = marked(data, _ints(hs.values).view(np.uint64), stays.as_py() or [], unit) if hs.is_valid else None
-                out.append(finish(data, marks))
+                out.append(finish(data, marks, notes.as_py() or []))
             cols = [pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays([batch.column("rest"), *cols], names=["rest", *names])
 
     added = T.StructType.fromDDL(schema)
     names = added.names
     kinds = [{"long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.dataType.simpleString()] for f in added]
-    both = texts.join(known, "d", "left").select("rest", "z", "hs", "stays")
+    both = texts.join(known, "d", "left").select("rest", "z", "hs", "stays", "notes")
     done = both.mapInArrow(run, T.StructType([both.schema["rest"], *added.fields]))
     return done.select("rest.*", *(F.col(f"`{n}`") for n in names))

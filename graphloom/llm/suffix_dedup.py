@@ -13,9 +13,10 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import _BYTES, of_bytes
-from .repeats import Segments, Unit, resolve
+from .repeats import Segments, Unit, resolve, survivors
 from .suffixes import suffix_array
 
 LENGTH = 100
@@ -105,6 +106,14 @@ def _kept(data: bytes, marks: np.ndarray | None) -> tuple[bytes, list[tuple[int,
     return np.frombuffer(data, np.uint8)[~marks].tobytes(), _spans(marks)
 
 
+def finder(length: int = LENGTH):
+    def find(parts: DataFrame) -> DataFrame:
+        stays = survivors(parts, analyser(length)).groupBy("d").agg(F.collect_list(F.struct("x", "a", "b")).alias("stays"))
+        return stays.withColumn("notes", F.lit(None).cast("array<int>"))
+
+    return find
+
+
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Every row of ``docs`` with ``text`` less its repeated bytes; all other columns are kept.
 
@@ -116,20 +125,20 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     gives an empty table.
     """
 
-    def finish(data, marks):
+    def finish(data, marks, _):
         return (_kept(data, marks)[0].decode("utf-8", "ignore"),)
 
     keep = tuple(c for c in docs.columns if c != "text")
-    done = resolve(docs, unit(length), analyser(length), finish, "text string", keep)
+    done = resolve(docs, unit(length), finder(length), finish, "text string", keep)
     return done.select(*docs.columns)
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left) by row; see ``dedup``."""
 
-    def finish(data, marks):
+    def finish(data, marks, _):
         kept, spans = _kept(data, marks)
         return len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()
 
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return resolve(docs, unit(length), analyser(length), finish, schema, ("doc_id",))
+    return resolve(docs, unit(length), finder(length), finish, schema, ("doc_id",))
