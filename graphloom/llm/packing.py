@@ -9,6 +9,7 @@ and not by the input, is joined back to the pieces by length and by rank within
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -24,6 +25,7 @@ SIZE = 2048
 END = 0
 _CACHE_CHARS = 24_000_000
 _state: dict[str, tuple] = {}
+_BESIDE = re.compile(r" (?:(?=\s)|(?<=\s ))")  # a space beside other white space
 
 
 # ---------------------------------------------------------------- tokenizing, inside tasks
@@ -42,13 +44,43 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}  # words that follow a space
         self.chars = 0
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self._split(x) for x in texts]
+        """Most texts have no space beside other white space: their words are looked up as they are."""
+        plain, other, words = {}, [], set()
+        for i, x in enumerate(texts):
+            if x and x[0] != " " and x[-1] != " " and not _BESIDE.search(x):
+                plain[i] = rest = x.split(" ")
+                words.update(rest)
+            else:
+                other.append(i)
+        after = self.after
+        new = sorted(words.difference(after))
+        for i in range(0, len(new), 5000):
+            after.update(zip(new[i : i + 5000], self._ids([f" {w}" for w in new[i : i + 5000]])))
+        heads = self._mixed([[x[0]] for x in plain.values()])
+        out = [b""] * len(texts)
+        for (i, rest), head in zip(plain.items(), heads):
+            out[i] = head + b"".join(map(after.__getitem__, rest[1:]))
+        for i, ids in zip(other, self._mixed([self._split(texts[i]) for i in other])):
+            out[i] = ids
+        for w in new:
+            if len(w) > 256:
+                del after[w]
+            else:
+                self.chars += len(w) + 8
+        if self.chars > _CACHE_CHARS:
+            self.known.clear()
+            after.clear()
+            self.chars = 0
+        return out
+
+    def _mixed(self, parts: list[list[str]]) -> list[bytes]:
         known = self.known
         new = list({p for words in parts for p in words if p not in known})
         long = {p for p in new if len(p) > 256}
@@ -57,11 +89,7 @@ class Encoder:
         for i in range(0, len(short), 5000):
             known.update(zip(short[i : i + 5000], self._ids(short[i : i + 5000])))
         self.chars += sum(map(len, short)) + 8 * len(short)
-        out = [b"".join(own[p] if p in own else known[p] for p in words) if own else b"".join(map(known.__getitem__, words)) for words in parts]
-        if self.chars > _CACHE_CHARS:
-            known.clear()
-            self.chars = 0
-        return out
+        return [b"".join(own[p] if p in own else known[p] for p in words) for words in parts]
 
     @staticmethod
     def _split(text: str) -> list[str]:
