@@ -13,6 +13,7 @@ import json
 import zlib
 from array import array
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,18 +43,22 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path, self.ranks = path, None
         with open(path, encoding="utf-8") as f:
             ranks = _ranks(json.load(f))
-        self.ranks = None
         if ranks is not None:
             import tiktoken
 
             self.ranks = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
+
     def ids(self, text: str) -> list[int]:
         if self.ranks is None or len(text) > _LONG:  # its pattern runs out of stack on millions of spaces
             return self.tokenizer.encode(text, add_special_tokens=False).ids
