@@ -251,12 +251,15 @@ def _starts(h: np.ndarray, rows: int) -> list[tuple[int, int]]:
     return out
 
 
-def marked(data: bytes, hs: np.ndarray, stays: list, unit: Unit) -> np.ndarray:
-    """Which units of the text a repeated window covers. stays: (x, a, b) of the document."""
+def marked(data: bytes, hs: np.ndarray, stays: list, unit: Unit) -> np.ndarray | None:
+    """Which units of the text a repeated window covers, None if it holds no window. stays: (x, a, b) of the document.
+
+    A text without a window gets here where its doc_id (or the lack of one) is that of other rows too.
+    """
     h, _, lo, hi = unit.runs(data)
-    n = (int(hi[-1]) if len(hi) else 0) + unit.window
     if not len(h):
-        return np.zeros(0, bool)
+        return None
+    n = int(hi[-1]) + unit.window
     step = np.zeros(n + 1, np.int64)
     keep = np.isin(h, hs)
     np.add.at(step, lo[keep], 1)
@@ -281,7 +284,7 @@ def resolve(docs: DataFrame, unit: Unit, find: Callable[[DataFrame], DataFrame],
 
     ``find`` turns segments into one row for each document d: ``stays``, the windows that are no
     repeat as a list of (x, a, b), and ``notes`` for ``finish``, or null. marks is None for a
-    document without repeated anchors.
+    document without repeated anchors or without any window.
     """
     texts = packed(docs, keep)
     found = anchors(docs, unit)

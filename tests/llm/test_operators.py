@@ -82,6 +82,18 @@ def test_debruijn_dedup(spark, texts):
     assert sum(r.n_paths for r in rows) == debruijn_dedup.paths(documents(spark, texts)).count() > 0
 
 
+def test_debruijn_dedup_of_null_and_shared_ids(spark):
+    """Short texts keep their words beside long repeated ones with the same id, or without one."""
+    rng = random.Random(9)
+    span = " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    long = [(None, f"a {span} b"), (None, f"{span} c d"), (7, f"e f {span}"), (7, f"{span} g")]
+    short = [(None, "a short text"), (None, " ".join(f"s{k}" for k in range(34))), (None, None), (7, "another one"), (7, "")]
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in debruijn_dedup.dedup(documents(spark, long + short)).collect())
+    want = [(i, 80 + t.count(" ") - 79, 80, " ".join(t.replace(span, "").split())) for i, t in long]
+    want += [(i, len((t or "").split()), 0, t or "") for i, t in short]
+    assert got == collections.Counter(want)
+
+
 def test_debruijn_paths(spark):
     rng = random.Random(1)
     span = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
