@@ -209,6 +209,26 @@ def test_decontamination_finds_every_edited_item(spark):
     assert kept == {i for i, _ in rows} - {i for i, _ in want}
 
 
+@pytest.mark.parametrize("n", [15, 60, 400])
+@pytest.mark.parametrize("kind", ["insert", "delete", "replace"])
+def test_decontamination_at_the_full_edit_bound(n, kind):
+    """Items with floor(0.2 n) spread edits of one kind, by themselves and inside other text: recall is 1."""
+    rng = random.Random(n)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    for trial in range(25):
+        item = [rng.choice(vocabulary) for _ in range(n)]
+        places = sorted(rng.sample(range(1, n - 1), int(0.2 * n)), reverse=True)
+        leak = list(item)
+        for p in places:
+            leak[p : p + (kind != "insert")] = [] if kind == "delete" else [f"x{p}"]
+        around = [rng.choice(vocabulary) for _ in range(50 * (trial % 2))]
+        block = decontaminate.Block([(5, " ".join(item))], decontaminate.DISTANCE)
+        [(k, edits, _, end)] = block.leaks(decontaminate.words(" ".join(around + leak + around).encode()))
+        assert k == 5 and 0 < edits <= int(0.2 * n) and end <= len(around) + len(leak)
+        leak[::4] = ["y"] * len(leak[::4])  # now well past the bound
+        assert block.leaks(decontaminate.words(" ".join(around + leak + around).encode())) == []
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(8)
     rows, labels = [], []
