@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, of_bytes, word_bounds
+from .common import Rolling, of_bytes, row_key, word_bounds
 
 DISTANCE = 0.2
 WALKS, BANDS, SAMPLES = 3, 32, 2
@@ -180,9 +180,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = DISTANCE, block_
     ids are compared like others, and repeated rows give repeated results. Other columns are
     ignored. Empty tables give an empty table.
     """
-    spark, out = docs.sparkSession, None
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    kinds = "doc_id long, item_id long, edits int, start long, end long"
+    return _leaks(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, share, block_bytes)
+
+
+def _leaks(texts: DataFrame, benchmark: DataFrame, share: float, block_bytes: int) -> DataFrame:
+    """``leaks`` of a table whose first column, of any type, names the rows and whose second is the text."""
+    spark, out = texts.sparkSession, None
+    name, kind = texts.dtypes[0]
+    kinds = f"{name} {kind}, item_id long, edits int, start long, end long"
     for rows in _blocks(benchmark, block_bytes):
         shared = spark.sparkContext.broadcast(Block(rows, share))  # size bound by block_bytes
 
@@ -194,8 +199,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = DISTANCE, block_
                     if text.is_valid:
                         got.extend((doc, *x) for x in block.leaks(words(text.as_py())))
                 cols = list(zip(*got)) or [[]] * 5
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "item_id", "edits", "start", "end"])
+                types = (batch.column(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[name, "item_id", "edits", "start", "end"])
 
         part = texts.mapInArrow(run, kinds)
         out = part if out is None else out.unionByName(part)
@@ -203,7 +208,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = DISTANCE, block_
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` without any leak, all columns kept."""
-    bad = leaks(docs, benchmark, share).select(F.col("doc_id").alias("_leaked")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_leaked"))
-    return docs.join(bad, same, "left_anti")
+    """The rows of ``docs`` without any leak, all columns kept.
+
+    Rows are told apart by doc_id and text: a leak takes no other row that shares its id or the lack of one.
+    """
+    keyed = docs.withColumn("_key", row_key())
+    bad = _leaks(keyed.select("_key", "text"), benchmark, share, BLOCK_BYTES).select("_key").distinct()
+    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)

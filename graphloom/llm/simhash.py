@@ -14,8 +14,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, cut
+from .common import components, cut, row_key
 
 SHINGLE = 3
 SEED = 42
@@ -45,18 +46,20 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (signed 64-bit) for every row of ``docs``; a null text has no words."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of ``keep``, fp (signed 64-bit) for every row of ``docs``; a null text has no words."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *keep)
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fp = [fingerprint(x.as_py(), shingle, seed) for x in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "fp"]
+                [batch.column(0), *batch.columns[2:], pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", *keep, "fp"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    kinds = T.StructType([f for f in rows.schema if f.name != "text"] + [T.StructField("fp", T.LongType())])
+    return rows.mapInArrow(run, kinds)
 
 
 def _compare(radius: int):
@@ -132,12 +135,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
     Rows with a null doc_id keep a row; they join groups but never name one (a group of such rows
     only has a null component_id). Repeated rows give repeated rows. Other columns are ignored.
     """
-    fps = cut(fingerprints(docs, shingle, seed))
+    return _groups(docs, shingle, seed, radius).select("doc_id", "fp", "component_id")
+
+
+def survivors(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates, all columns kept.
+
+    It is the row with the smallest doc_id, null as the largest, and among equal ids with the
+    smallest hash of id and text. Rows without an id, and different texts that share one, are judged each by itself.
+    """
+    keyed = docs.withColumn("_key", row_key())
+    found = _groups(keyed, shingle, seed, radius, ("_key",))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first")
+    kept = found.groupBy("group").agg(first).select("first._key")
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+
+
+def _groups(docs: DataFrame, shingle: int, seed: int, radius: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of ``keep``, fp, group, component_id for every row of ``docs``."""
+    fps = cut(fingerprints(docs, shingle, seed, keep))
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     groups = components(
         links(classes.select("fp"), radius).select(F.col("x").alias("a"), F.col("y").alias("b"))
     ).withColumnsRenamed({"node": "fp", "component": "group"})
     named = cut(classes.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp")))
     smallest = named.groupBy("group").agg(F.min("rep").alias("component_id"))
-    by_fp = cut(named.join(smallest, "group").select("fp", "component_id"))
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = cut(named.join(smallest, "group").select("fp", "group", "component_id"))
+    return fps.join(by_fp, "fp").select("doc_id", *keep, "fp", "group", "component_id")

@@ -30,3 +30,17 @@ def test_stages_take_effect(spark):
             bad = {r.doc_id for r in decontaminate.leaks(docs, table(spark, DIR, "benchmark")).collect()}
             assert ids == {r.doc_id for r in docs.collect()} - bad
         docs = out
+
+
+def test_rows_without_an_id_and_with_a_shared_one(spark):
+    """A leak takes its own row only, and each group of near duplicates keeps one row, whatever the ids are."""
+    words = [f"w{k}" for k in range(400)]
+    a, b, c, d = (" ".join(words[k : k + 60]) for k in (0, 100, 200, 300))
+    rows = [(None, a), (None, b), (None, a), (5, a), (7, c), (7, d), (None, d), (7, c), (None, None)]
+    docs = spark.createDataFrame([(i, t, "z", 0) for i, t in rows], "doc_id long, text string, lang string, n_chars long")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, DIR)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, a), (None, b), (7, c), (7, d), (None, None)], key=str)
+    bench = spark.createDataFrame([(1, a), (2, c)], "item_id long, text string")
+    clean = sorted(((r.doc_id, r.text) for r in decontaminate.clean(docs, bench).collect()), key=str)
+    assert clean == sorted([(None, b), (7, d), (None, d), (None, None)], key=str)
