@@ -4,7 +4,8 @@ A page is read into a tree of block elements. Menus, headers, footers, side bars
 forms, scripts, styles and reader comments are left out by element, role or class. Every paragraph
 gives points for its length and its commas to its ancestors, less with each level; a container's points
 are discounted by the share of its text that stands in links. The best container is kept, with
-those siblings that score well or are paragraphs of prose themselves.
+those siblings that score well or are paragraphs of prose themselves; one inside an article or the main
+element stands for that whole element, whatever the sizes of its sections.
 """
 
 from __future__ import annotations
@@ -211,6 +212,10 @@ def extract(page: str | None) -> str:
         return (x.points + x.weight) * (1 - x.linked / max(1.0, x.chars))
 
     best = max((x for x in nodes.values() if x.name not in ("p", *_HEADINGS, "ul", "ol", "li", "tr", "td")), key=score, default=root)
+    article = best  # a long section scores above its article, which holds the others too
+    while article is not None and not (article.weight and article.linked < 0.5 * article.chars):
+        article = article.up
+    best = article or best
     least = max(3.0, 0.25 * (score(best) - best.weight))
     kept = {id(best)}
     if best.up is not None and best.weight == 0:

@@ -281,6 +281,19 @@ def test_html(spark):
     assert {(r.page_id, r.text, r.n_chars) for r in got} == {(1, want, len(want)), (2, "", 0), (None, "", 0), (3, "", 0)}
 
 
+@pytest.mark.parametrize("many", [1, 5, 12, 60])
+@pytest.mark.parametrize("name", ["article", "main"])
+def test_html_keeps_all_sections_of_an_article_of_any_length(name, many):
+    long = ("some words of prose, and more of them, " * 8).strip(" ,")
+    page = (
+        f"<body><nav><a href=x>menu</a></nav><div class=page><{name}><h1>Title</h1><p>Short lead.</p><div><div><section><h2>One</h2>{f'<p>{long}</p>' * many}</section></div>"
+        f"<div><section><h2>Two</h2><p>Brief.</p><ul><li>first<li>second</ul></section></div></div><section><p>The end.</p></section></{name}>"
+        "<div><p>Outside.</p></div></div><footer>f</footer></body>"
+    )
+    want = ["Title", "Short lead.", "One", *[long] * many, "Two", "Brief.", "first", "second", "The end."]
+    assert html_text.extract(page).split("\n") == want
+
+
 def test_quality(spark):
     rng = random.Random(6)
     rows, labels = [], []
