@@ -4,9 +4,12 @@ Token k-mers (k = the window) are edges between the (k-1)-mers at their ends. Ed
 by their anchor (see ``repeats``), so all occurrences of an edge meet in one bucket; there edges
 are counted, and those met once leave the graph. What is left is compacted: inside each
 bucket runs of edges without a branch become one piece, and pieces that follow each other are
-glued by Spark joins with doubling steps (``glue``). Every path keeps a source coordinate; its span
-is verified in the source's own text by its first and last edge and removed there. All other
-occurrences are removed by checking each document's windows against the edges that left.
+glued by Spark joins with doubling steps (``glue``). Every path keeps a source coordinate, and its span
+is verified in the source's own text by its first and last edge.
+
+The paths do not decide which words go: those are the windows of repeated anchors less the windows met
+once (``repeats.marked``), at the source as elsewhere. The paths only give ``n_paths`` and ``paths``, where paths
+that close to a cycle (periodic texts) are missing.
 """
 
 from __future__ import annotations
