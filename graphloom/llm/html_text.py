@@ -1,11 +1,13 @@
 """Main text of web pages by tree scoring.
 
 A page is read into a tree of block elements. Menus, headers, footers, side bars, notices, adverts,
-forms, scripts, styles and reader comments are left out by element, role or class. Every paragraph
+forms, scripts, styles and reader comments are left out by element, role or the words of a class or
+id; a container that is only named so stays if it holds most of the page's points. Every paragraph
 gives points for its length and its commas to its ancestors, less with each level; a container's points
 are discounted by the share of its text that stands in links. The best container is kept, with
-those siblings that score well or are paragraphs of prose themselves; one inside an article or the main
-element stands for that whole element, whatever the sizes of its sections.
+those siblings that score well, look like it or are paragraphs of prose themselves; one inside an article
+or the main element stands for that whole element, whatever the sizes of its sections. Reading and scoring
+take time in proportion to the page, whatever its markup.
 """
 
 from __future__ import annotations
@@ -17,68 +19,109 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# quotes count only in a value after "="; possessive parts never look at a character twice
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>?"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>?"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?P<close>>?)",
     re.S,
 )
-_ATTR = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTR = re.compile(r"([^\s=\"'<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp", "template"}
-_RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in _RAW}
+_RAW_END = {name: re.compile(rf"</{name}\b", re.I) for name in _RAW}
 _OUT = _RAW | {
-    "nav", "footer", "aside", "form", "button", "select", "option", "input", "label", "fieldset", "dialog", "menu",
-    "svg", "canvas", "object", "embed", "audio", "video", "head",
+    "nav", "footer", "aside", "form", "select", "option", "input", "dialog", "menu", "svg", "canvas", "object", "embed",
+    "audio", "video", "head",
 }
+_CONTROLS = {"label", "button"}  # part of the text inside a block of prose, part of a form elsewhere
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 _BLOCK = {
     "html", "body", "div", "p", "section", "article", "main", "header", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol",
     "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre",
-    "figure", "figcaption", "address", "center", "details", "summary", "hgroup", "search",
-} | _OUT
+    "figure", "figcaption", "address", "center", "details", "summary", "hgroup", "search", "fieldset", "legend",
+} | _OUT | _CONTROLS
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: an open element of the key's kind ends when one of these begins
-_ENDS_P = _BLOCK - {"html", "body", "label", "button", "input", "option", "select"} | {"hr"}
-_SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
-         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-         "option": ({"option"}, {"select"})}
+_TEXTUAL = {"p", "li", "dt", "dd", "td", "th", "caption", "blockquote", "pre", "figcaption", "summary", "address", "legend", *_HEADINGS}
+_ENDS_P = _BLOCK - {"html", "body", "input", "option", "select"} | {"hr"}
+#: which open elements a new one ends: the nearest of these kinds, unless one of the others lies between
+_KINDS = ({"li"}, {"dt", "dd"}, {"tr"}, {"td", "th"})
+_SCOPES = ({"ul", "ol", "menu"}, {"dl"}, {"table"}, {"tr", "table"})
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "alertdialog", "menu", "menubar", "form"}
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|menus?|nav|navbar|navigation|breadcrumbs?|sidebar\w*|"
-    r"side|footer\w*|foot|header|masthead|cookies?|consent|gdpr|notices?|notification\w*|alert|popups?|modal|newsletter|subscri\w*|"
-    r"signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|reactions|widgets?|"
-    r"pagination|pager|toolbar|skip)(?:$|[\s_-])",
-    re.I,
-)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: a name that begins so speaks of layout or subject, not of what the element is
+_ABOUT = {"has", "with", "no", "without", "not", "non", "is", "hide", "show", "category", "tag", "topic", "type", "status", "format", "layout", "template", "theme"}
+_COMMENTS = {"comment", "comments", "commentlist", "disqus", "replies", "respond", "reactions"}
+_NAMES = _COMMENTS | {
+    "ad", "ads", "adsense", "banner", "banners", "menu", "menus", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "side",
+    "footer", "foot", "masthead", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "notifications", "alert", "popup",
+    "popups", "modal", "newsletter", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "widget",
+    "widgets", "pagination", "pager", "toolbar", "skip",
+}
+_STEMS = ("advert", "sponsor", "promo", "subscri", "sidebar")
+_OF_TEXT = {"post", "article", "entry", "content", "story", "page", "section", "blog", "chapter"}
 _PROSE = {"article", "main"}
 
 
 class Node:
-    __slots__ = ("name", "kids", "up", "out", "points", "chars", "linked", "weight", "order")
+    __slots__ = ("name", "kids", "up", "out", "header", "prose", "scope", "look", "doubt", "points", "below", "chars", "linked", "weight", "kept")
 
-    def __init__(self, name: str, up: Node | None, out: bool, weight: float = 0.0):
+    def __init__(self, name: str, up: Node | None, out: bool = False, weight: float = 0.0):
         self.name, self.up, self.out, self.weight = name, up, out, weight
         self.kids: list = []  # nodes, and (text, inside a link) pairs
-        self.points = self.chars = self.linked = 0.0
+        self.points = self.below = self.chars = self.linked = 0.0
+        self.header = up is not None and up.header  # of a text: only its headings count
+        self.prose = name in _PROSE or (up is not None and up.prose)
+        self.look = self.doubt = ""
+        self.kept = False
+        scope = [None] * 4 if up is None else list(up.scope)
+        for k in range(4):
+            if name in _SCOPES[k]:
+                scope[k] = None
+            if name in _KINDS[k]:
+                scope[k] = self
+        self.scope = scope
+
+
+def _named(names: str, prose: bool) -> str:
+    """What a class or id says of an element: out, comments, header (of a text), or nothing."""
+    said = ""
+    for name in names.split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        if not parts or parts[0] in _ABOUT:
+            continue
+        if not _COMMENTS.isdisjoint(parts):
+            return "comments"
+        if not _NAMES.isdisjoint(parts) or any(p.startswith(_STEMS) for p in parts):
+            said = "out"
+        elif parts[-1] == "header" and not said:
+            said = "header" if prose or (len(parts) > 1 and parts[0] in _OF_TEXT) else "out"
+    return said
 
 
-def _boilerplate(name: str, attrs: dict[str, str], parent: Node) -> bool:
+def _unseen(name: str, attrs: dict[str, str]) -> bool:
     if name in _OUT or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in _ROLES:
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
-        return True
-    if name in ("html", "body", "article", "main") or name in _HEADINGS:
-        return False
-    return bool(_NAMES.search(attrs.get("class", "")) or _NAMES.search(attrs.get("id", "")))
+    style = attrs.get("style")
+    return bool(style and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", style))
 
 
 def parse(page: str) -> Node:
-    root = node = Node("#root", None, False)
+    root = node = Node("#root", None)
+    open_: dict[str, int] = {}
     links = at = 0
 
     def text(raw: str) -> None:
         if raw and not node.out:
             node.kids.append((html.unescape(raw), links > 0))
 
+    def leave(last: Node) -> None:
+        """Close everything up to ``last``."""
+        nonlocal node
+        while True:
+            x, node = node, node.up
+            open_[x.name] -= 1
+            if x is last:
+                return
+
     while True:
         m = _TAG.search(page, at)
         if m is None:
@@ -90,151 +133,167 @@ def parse(page: str) -> Node:
             text(html.escape(m["cdata"], quote=False))
         if m["name"] is None:
             continue
+        if not m["close"]:  # the page ends inside a tag
+            return root
         name = m["name"].lower()
         if m["end"]:
             if name == "a":
                 links = max(0, links - 1)
-            elif name == "br" or name not in _BLOCK:
-                if name == "p":
-                    continue
-                text(" ") if name == "br" else None
-            else:
-                x = node
-                while x is not root and x.name != name:
-                    x = x.up
-                if x is not root:
-                    node = x.up
-                    links = 0 if name in ("article", "div", "section", "li", "p", "td", "ul", "nav") else links
+            elif name == "br":
+                text(" ")
+            elif open_.get(name):
+                while node.name != name:
+                    leave(node)
+                leave(node)
+                links = 0 if name in ("article", "div", "section", "li", "p", "td", "ul", "nav") else links
             continue
         if name in _RAW:
             stop = _RAW_END[name].search(page, at)
-            at = stop.end() if stop else len(page)
+            at = page.find(">", stop.end()) + 1 if stop else 0
             text(" ")
+            if not at:
+                return root
             continue
-        if name in ("br", "hr", "wbr") or name not in _BLOCK:
+        if name in ("br", "hr", "wbr") or name not in _BLOCK or (name in _CONTROLS and node.name in _TEXTUAL):
             text(" ") if name == "br" else None
             if name == "a" and not m["attrs"].endswith("/"):
                 links = 1
             if name == "hr" and node.name == "p":
-                node = node.up
+                leave(node)
             continue
         if name in _VOID:
             continue
         if name in _ENDS_P:
             x = node
-            while x is not root and x.name in ("p", *_HEADINGS):
-                if x.name == "p":
-                    node = x.up
-                    break
-                x = x.up
-        if name in _SAME:
-            ends, scope = _SAME[name]
-            x = node
-            while x is not root and x.name not in scope:
-                if x.name in ends:
-                    node = x.up
+            while x.name in _HEADINGS and x.up.name == "p":
                 x = x.up
-        attrs = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(m["attrs"])}
-        out = node.out or _boilerplate(name, attrs, node)
-        if name == "header" and not out:
-            out = not _inside(node, _PROSE)
+            if x.name == "p":
+                leave(x)
+        if name in _HEADINGS and node.name in _HEADINGS:
+            leave(node)
+        for k in range(4):
+            if name in _KINDS[k]:
+                last = node.scope[k] or (node.scope[3] if k == 2 else None)
+                if last is not None:
+                    leave(last)
+        attrs = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(m["attrs"])} if m["attrs"] else {}
+        out = node.out or _unseen(name, attrs) or name in _CONTROLS or (name == "header" and not node.prose)
         child = Node(name, node, out, 25.0 if name in _PROSE or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody" else 0.0)
         if not out:
             node.kids.append(child)
+            child.look = attrs.get("class", "")
+            child.header |= name == "header"
+            if name not in ("html", "body", *_PROSE) and name not in _HEADINGS and (child.look or "id" in attrs):
+                child.doubt = _named(child.look + " " + attrs.get("id", ""), node.prose)
         if not m["attrs"].rstrip().endswith("/"):
             node = child
+            open_[name] = open_.get(name, 0) + 1
 
 
-def _inside(node: Node, names: set[str]) -> bool:
-    while node is not None:
-        if node.name in names:
-            return True
-        node = node.up
-    return False
-
-
-def _walk(node: Node, header: bool, found: list) -> None:
-    """Blocks of text below ``node`` in page order: (text, node, characters inside links)."""
-    stack = [(node, header, iter(node.kids), [])]
+def _walk(node: Node, found: list, order: list) -> None:
+    """Blocks of text below ``node`` in page order: (text, node, characters inside links); nodes before what they hold."""
+    order.append(node)
+    stack = [(node, iter(node.kids), [])]
     while stack:
-        node, header, kids, parts = stack[-1]
-
-        def close(parts=parts, node=node, header=header):
-            body = " ".join("".join(t for t, _ in parts).split())
-            if body and (not header or node.name in _HEADINGS):
-                found.append((body, node, sum(len("".join(t.split())) for t, a in parts if a)))
-            parts.clear()
-
+        node, kids, parts = stack[-1]
         for kid in kids:
             if isinstance(kid, tuple):
                 parts.append(kid)
             else:
-                close()
-                stack.append((kid, header or kid.name == "header", iter(kid.kids), []))
+                _close(node, parts, found)
+                order.append(kid)
+                stack.append((kid, iter(kid.kids), []))
                 break
         else:
-            close()
+            _close(node, parts, found)
             stack.pop()
 
 
+def _close(node: Node, parts: list, found: list) -> None:
+    if parts:
+        body = " ".join("".join(t for t, _ in parts).split())
+        if body and (not node.header or node.name in _HEADINGS):
+            found.append((body, node, sum(len("".join(t.split())) for t, a in parts if a)))
+        parts.clear()
+
+
+def _score(x: Node) -> float:
+    return (x.points + x.below + x.weight) * (1 - x.linked / max(1.0, x.chars))
+
+
+def _weigh(blocks: list, order: list) -> None:
+    """Points, characters and linked characters of all nodes, from the leaves up."""
+    for x in order:
+        x.points = x.below = x.chars = x.linked = 0.0
+    for body, node, linked in blocks:
+        points = (1 + body.count(",") + body.count("，") + min(len(body) / 100, 3)) if len(body) >= 25 else 0.3
+        holder = node.up if node.name == "p" or node.name in _HEADINGS or node.name in ("li", "td", "dd", "pre", "blockquote") else node
+        (holder or node).points += points
+        node.chars += len(body)
+        node.linked += min(linked, len(body))
+    for x in reversed(order):
+        if x.up is not None:
+            x.up.below += 0.5 * x.points + 0.6 * x.below
+            x.up.chars += x.chars
+            x.up.linked += x.linked
+
+
+def _doubtful(order: list) -> bool:
+    """Drop the containers that their names give away; True if there were any."""
+    held: dict[int, float] = {}
+    titled: dict[int, bool] = {}
+    for x in reversed(order):
+        held[id(x)] = x.points + sum(held[id(k)] for k in x.kids if isinstance(k, Node))
+        titled[id(x)] = x.name in ("h1", "main") or any(titled[id(k)] for k in x.kids if isinstance(k, Node))
+    some, most = False, 0.5 * held[id(order[0])]
+    for x in order:
+        if x.up is not None:
+            x.out, x.header = x.up.out, x.header or x.up.header
+        if x.doubt == "comments" and not titled[id(x)] or x.doubt == "out" and held[id(x)] <= most:
+            x.out = some = True
+        elif x.doubt == "header" and held[id(x)] <= most:
+            x.header = some = True
+    return some
+
+
 def extract(page: str | None) -> str:
     """Main text of one page; its blocks joined by line feeds, empty if there is none."""
     if not page:
         return ""
     root = parse(page)
     blocks: list = []
-    _walk(root, False, blocks)
+    order: list[Node] = []
+    _walk(root, blocks, order)
     if not blocks:
         return ""
-    for body, node, linked in blocks:
-        points = (1 + body.count(",") + body.count("，") + min(len(body) / 100, 3)) if len(body) >= 25 else 0.3
-        holder = node.up if node.name == "p" or node.name in _HEADINGS or node.name in ("li", "td", "dd", "pre", "blockquote") else node
-        share = 1.0
-        x, seen = holder or node, 0
-        while x is not None:
-            x.points += points * share
-            share = 0.5 if seen == 0 else share * 0.6
-            seen += 1
-            x = x.up
-        x = node
-        while x is not None:
-            x.chars += len(body)
-            x.linked += min(linked, len(body))
-            x = x.up
-    nodes = {}
-    for _, node, _ in blocks:
-        x = node
-        while x is not None and id(x) not in nodes:
-            nodes[id(x)] = x
-            x = x.up
-
-    def score(x: Node) -> float:
-        return (x.points + x.weight) * (1 - x.linked / max(1.0, x.chars))
-
-    best = max((x for x in nodes.values() if x.name not in ("p", *_HEADINGS, "ul", "ol", "li", "tr", "td")), key=score, default=root)
+    _weigh(blocks, order)
+    if any(x.doubt for x in order) and _doubtful(order):
+        blocks = [b for b in blocks if not b[1].out and (not b[1].header or b[1].name in _HEADINGS)]
+        order = [x for x in order if not x.out]
+        _weigh(blocks, order)
+        if not blocks:
+            return ""
+    best = max((x for x in order if x.chars and x.name not in ("p", *_HEADINGS, "ul", "ol", "li", "tr", "td")), key=_score, default=root)
     article = best  # a long section scores above its article, which holds the others too
     while article is not None and not (article.weight and article.linked < 0.5 * article.chars):
         article = article.up
     best = article or best
-    least = max(3.0, 0.25 * (score(best) - best.weight))
-    kept = {id(best)}
+    least = max(3.0, 0.25 * (_score(best) - best.weight))
+    best.kept = True
     if best.up is not None and best.weight == 0:
         for x in best.up.kids:
             if isinstance(x, Node) and x is not best and x.chars:
                 density = x.linked / x.chars
-                if score(x) >= least or (x.name == "p" and x.chars >= 80 and density < 0.25) or (x.name in _HEADINGS and density < 0.25):
-                    kept.add(id(x))
+                like = (x.name, x.look) == (best.name, best.look) and density < 0.33
+                if like or _score(x) >= least or density < 0.25 and (x.name in _HEADINGS or x.name == "p" and x.chars >= 80):
+                    x.kept = True
     elif best.up is not None:  # several articles on one page
-        kept |= {id(x) for x in best.up.kids if isinstance(x, Node) and x.weight and score(x) >= least + x.weight / 2}
-
-    def inside(x: Node | None) -> bool:
-        while x is not None:
-            if id(x) in kept:
-                return True
-            x = x.up
-        return False
-
-    return "\n".join(body for body, node, _ in blocks if inside(node))
+        for x in best.up.kids:
+            if isinstance(x, Node) and x.weight and _score(x) >= least + x.weight / 2:
+                x.kept = True
+    for x in order:
+        x.kept |= x.up is not None and x.up.kept
+    return "\n".join(body for body, node, _ in blocks if node.kept)
 
 
 def main_text(pages: DataFrame) -> DataFrame:

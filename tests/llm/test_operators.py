@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -294,6 +295,32 @@ def test_html_keeps_all_sections_of_an_article_of_any_length(name, many):
     assert html_text.extract(page).split("\n") == want
 
 
+PROSE = "Some text of prose, and more of it, here and there."
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "post no-comments", "main with-sidebar", "article-header", "widget", "comments-open category-social"])
+def test_html_keeps_a_text_whose_container_has_an_odd_name(name):
+    assert html_text.extract(f'<body><nav>m</nav><div class="{name}"><h1>T</h1><p>{PROSE}</p></div><footer>f</footer></body>') == f"T\n{PROSE}"
+
+
+def test_html_inline_controls_and_named_parts():
+    page = (
+        '<body><article><div class="post-header"><h1>Title</h1><span>by me</span></div><p>The <label>word</label> stays, with <button>its</button> text.</p>'
+        f'<p>{PROSE}</p><div class="share-buttons">x</div><div id="relatedPosts">y</div><form><label>Name</label><input><button>Go</button></form></article>'
+        f'<div class="comments"><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div><div class="cookie-notice">We use.</div></body>'
+    )
+    assert html_text.extract(page) == f"Title\nThe word stays, with its text.\n{PROSE}"
+
+
+@pytest.mark.parametrize(
+    "page", ['<a "' * 250_000, "<div>x" * 150_000, "<div>" * 200_000, "<a b='" * 170_000, "<h1><p>" * 140_000, "<script>" + "</script" * 120_000, "<ul><li>" * 120_000]
+)
+def test_html_takes_time_in_proportion_to_the_page(page):
+    began = time.process_time()
+    html_text.extract(page)
+    assert time.process_time() - began < 20  # a quadratic reader needs over an hour
+
+
 def test_quality(spark):
     rng = random.Random(6)
     rows, labels = [], []
