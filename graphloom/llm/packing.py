@@ -10,10 +10,10 @@ and not by the input, is joined back to the pieces by length and by rank within
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,7 @@ from .common import cut
 
 SIZE = 2048
 END = 0
-_LONG = 500_000
 _state: dict[str, Encoder] = {}
-# fixed value: how byte-level BPE of this kind cuts a text before it merges
-_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 # ---------------------------------------------------------------- tokenizing, inside tasks
@@ -37,58 +34,49 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 class Encoder:
     """Token ids as bytes (little-endian unsigned 32-bit), by a tokenizer file of the ``tokenizers`` library.
 
-    A plain byte-level BPE file, whose ids follow its merges, says the same as a table of ranks;
-    ``tiktoken`` reads that table in a third of the CPU time and gives the same ids. Any other
-    file is left to ``tokenizers``. Strings of special tokens in a text are ordinary text.
+    A plain byte-level tokenizer always begins a new word at a space between two other characters that are no
+    white space, whatever stands around them; its texts are cut there, and each distinct word is encoded
+    once and remembered. Texts for any other file are encoded whole. Strings of special tokens in
+    a text are ordinary text.
     """
 
     def __init__(self, path: str):
-        self.path, self.ranks = path, None
-        with open(path, encoding="utf-8") as f:
-            ranks = _ranks(json.load(f))
-        if ranks is not None:
-            import tiktoken
-
-            self.ranks = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    @cached_property
-    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(self.path)
-        found.encode_special_tokens = True
-        return found
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            self.cuts = _starts_words_at_spaces(json.load(f))
+        self.known: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> list[int]:
-        if self.ranks is None or len(text) > _LONG:  # its pattern runs out of stack on millions of spaces
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return self.ranks.encode_ordinary(text)
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", self.ids(x)).tobytes() for x in texts]
+        if not self.cuts:
+            return self._encode(texts)
+        known = self.known
+        if len(known) > _CACHE:
+            known.clear()
+        words = [_CUT.split(x) if _RUN.search(x) else x.split(" ") for x in texts]
+        new = [w for w in {w for ws in words for w in ws[1:]} if w not in known]
+        known.update(zip(new, self._encode([f" {w}" for w in new])))
+        first = self._encode([ws[0] for ws in words])
+        return [a + b"".join(map(known.__getitem__, ws[1:])) for a, ws in zip(first, words)]
 
 
-def _ranks(spec: dict) -> dict[bytes, int] | None:
-    """Bytes of each token with its id, or None if the file is no plain byte-level BPE in the order of its merges."""
-    model, before = spec["model"], spec.get("pre_tokenizer") or {}
-    plain = (
-        spec.get("normalizer") is None and model.get("type") == "BPE"
-        and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) == ("ByteLevel", False, True)
-        and all(t["special"] for t in spec["added_tokens"])
-        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
-    )
-    if not plain:
-        return None
-    # a byte is written as its own character where that is visible, and as the next one past 255 where not
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [x for x in range(256) if x not in set(shown)]
-    of = {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(hidden)}
-    merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
-    special = {t["content"] for t in spec["added_tokens"]}
-    words = {w: i for w, i in model["vocab"].items() if w not in special}
-    if any(a >= b for a, b in zip(merged, merged[1:])) or len(words) != len(merged) + 256 or not all(c in words for c in of):
-        return None
-    return {bytes(of[c] for c in w): i for w, i in words.items()}
+_CACHE = 400_000  # words of one worker, some 70 MB
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_RUN = re.compile(r"\s (?:\s|\Z)")  # a space that is part of a longer run or ends one: not every space begins a word there
+
+
+def _starts_words_at_spaces(spec: dict) -> bool:
+    """Whether the file is a byte-level one that takes words by its usual pattern, from the text as it is."""
+    before = spec.get("pre_tokenizer") or {}
+    return spec.get("normalizer") is None and all(t["special"] for t in spec["added_tokens"]) and (
+        before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)
+    ) == ("ByteLevel", False, True)
 
 
 def encoder(path: str) -> Encoder:
@@ -124,13 +112,13 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) ->
                 nth = np.empty(len(lengths), np.int64)
                 nth[order] = np.arange(len(lengths)) - np.repeat(begin, count) + np.repeat(met[kinds], count)
                 met[kinds] += count
-                cols = [pa.array(c, pa.int64()) for c in rows]
+                cols = [pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(rows)]
                 yield pa.RecordBatch.from_arrays(
                     [*cols, pa.array(np.full(len(lengths), task)), pa.array(nth)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"],
                 )
 
-    kinds = "doc_id long, piece long, start long, length long, ids_crc32 long, task long, nth long"
+    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kinds)
 
 
@@ -283,5 +271,5 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> D
     shared = spark.sparkContext.broadcast(
         {k: tuple(np.array([v[i] for v in vs], np.int64) for i in (1, 3, 4)) for k, vs in by_length.items()}
     )
-    kinds = "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, kinds)
