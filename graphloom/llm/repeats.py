@@ -7,11 +7,11 @@ windows meet at one anchor value. Steps, each a Spark job over all documents:
 2. join them back to (anchor, document) pairs: a hot value is split by the skew join;
 3. join each document's repeated anchors to its text and cut one segment for each anchor run (the
    consecutive windows with that anchor); equal segments of a batch are one row with a count;
-4. bring segments with one anchor together and let the operator say which windows are unique or
-   first (``survivors``); every other window of a repeated anchor is a repeat;
-5. join both back to the texts and mark the repeats.
+4. bring segments with one anchor together and let the operator look at them (``grouped``); anchors with more
+   than ``HOT`` rows are taken apart into windows, which are aggregated by their hashes (``split``);
+5. join what the operator found back to the texts.
 
-Texts travel compressed. Documents are told apart by (doc_id, hash of the text); a null doc_id
+Texts travel compressed. Documents are told apart by doc_id and hash of the text (d, x); a null doc_id
 counts as larger than any other.
 """
 
@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from .common import cut, minimizers, partitions
 
 LAST = (1 << 63) - 1
+HOT = 2000
 
 
 @dataclass(frozen=True)
@@ -64,6 +65,7 @@ class Segments:
     doc: np.ndarray
     text: np.ndarray
     lo: np.ndarray  # first window of the first occurrence
+    sid: list[bytes]
 
 
 def signed(data: bytes) -> int:
@@ -76,7 +78,7 @@ def _ints(column) -> np.ndarray:
 
 
 def packed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """rest (the columns to keep), d (doc_id, the largest long for null), z (compressed text, null: empty)."""
+    """rest (the columns to keep), d (doc_id, the largest long for null), x (hash of the text), z (compressed text, null: empty)."""
     rows = docs.select(
         F.struct(*keep).alias("rest"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text"
     )
@@ -84,10 +86,11 @@ def packed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     def run(batches):
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            z = [press.compress(x.as_py() or b"") for x in batch.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], names=["rest", "d", "z"])
+            texts = [t.as_py() or b"" for t in batch.column(2).cast(pa.binary())]
+            x, z = pa.array([signed(t) for t in texts], pa.int64()), pa.array([press.compress(t) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), x, z], names=["rest", "d", "x", "z"])
 
-    fields = [rows.schema["rest"], T.StructField("d", T.LongType()), T.StructField("z", T.BinaryType())]
+    fields = [rows.schema["rest"], *T.StructType.fromDDL("d long, x long, z binary").fields]
     return rows.mapInArrow(run, T.StructType(fields))
 
 
@@ -105,37 +108,37 @@ def _pairs(docs: DataFrame, unit: Unit) -> DataFrame:
     def run(batches):
         for batch in batches:
             d = _ints(batch.column(0).fill_null(LAST))
-            h = [np.unique(unit.runs(x.as_py() or b"")[0]) for x in batch.column(1).cast(pa.binary())]
-            of = np.repeat(d, [len(x) for x in h])
-            v = np.concatenate(h or [np.zeros(0, np.uint64)])
+            texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
+            h = [np.unique(unit.runs(t)[0]) for t in texts]
+            n = [len(v) for v in h]
+            of, x = np.repeat(d, n), np.repeat(np.array([signed(t) for t in texts], np.int64), n)
+            v = np.concatenate(h or [np.zeros(0, np.uint64)]).view(np.int64)
             for i in range(0, len(v), 1 << 17):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v[i : i + (1 << 17)].view(np.int64)), pa.array(of[i : i + (1 << 17)])], names=["h", "d"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 17)]) for c in (v, of, x)], names=["h", "d", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h long, d long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h long, d long, x long")
 
 
 def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
-    """d, hs: the repeated anchor values of each document that has any."""
+    """d, x, hs: the repeated anchor values of each document that has any; equal documents are one row."""
     counted = _values(docs, unit).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     repeated = cut(counted)
-    return cut(_pairs(docs, unit).join(repeated, "h").groupBy("d").agg(F.collect_set("h").alias("hs")))
+    return cut(_pairs(docs, unit).join(repeated, "h").groupBy("d", "x").agg(F.collect_set("h").alias("hs")))
 
 
-_SEGMENT = "h long, off int, n int, body binary, count long, d long, x long, lo long"
+_SEGMENT = "h long, off int, n int, body binary, count long, d long, x long, lo long, sid binary"
+_PLACES = "places array<struct<d:long,x:long,lo:long>>"
 
 
-def segments(packed_docs: DataFrame, found: DataFrame, unit: Unit) -> DataFrame:
-    """One row for each distinct segment of a batch: its count and its first occurrence."""
+def segments(packed_docs: DataFrame, found: DataFrame, unit: Unit, places: bool = False) -> DataFrame:
+    """One row for each distinct segment of a batch: its count, its first occurrence and a hash (sid); its ``places``, if wanted."""
 
     def run(batches):
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             rows: dict[tuple, list] = {}
-            for d, z, hs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for d, x, z, hs in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
                 data = unpress.decompress(z)
-                x = signed(data)
                 h, place, lo, hi = unit.runs(data)
                 at = np.flatnonzero(np.isin(h, _ints(hs.values).view(np.uint64)))
                 if not len(at):
@@ -144,24 +147,39 @@ def segments(packed_docs: DataFrame, found: DataFrame, unit: Unit) -> DataFrame:
                 for key, n, a in zip(zip(h[at].tolist(), (place - lo)[at].tolist(), bodies), (hi - lo)[at].tolist(), lo[at].tolist()):
                     row = rows.get(key)
                     if row is None:
-                        rows[key] = [n, 1, (d, x, a)]
+                        rows[key] = [n, 1, (d, x, a), [(d, x, a)]]
                     else:
                         row[1] += 1
                         row[2] = min(row[2], (d, x, a))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.array([k[0] for k in rows], np.uint64).view(np.int64)),
-                    pa.array([k[1] for k in rows], pa.int32()),
-                    pa.array([v[0] for v in rows.values()], pa.int32()),
-                    pa.array([k[2] for k in rows], pa.binary()),
-                    pa.array([v[1] for v in rows.values()], pa.int64()),
-                    *(pa.array([v[2][k] for v in rows.values()], pa.int64()) for k in range(3)),
-                ],
-                names=["h", "off", "n", "body", "count", "d", "x", "lo"],
-            )
-
-    both = packed_docs.join(found, "d").select("d", "z", "hs")
-    return both.mapInArrow(run, _SEGMENT)
+                        if places:
+                            row[3].append((d, x, a))
+            sid = [xxhash.xxh3_128_digest(k[2], (k[0] + k[1]) & LAST) for k in rows]
+            cols = [
+                pa.array(np.array([k[0] for k in rows], np.uint64).view(np.int64)),
+                pa.array([k[1] for k in rows], pa.int32()),
+                pa.array([v[0] for v in rows.values()], pa.int32()),
+                pa.array([k[2] for k in rows], pa.binary()),
+                pa.array([v[1] for v in rows.values()], pa.int64()),
+                *(pa.array([v[2][k] for v in rows.values()], pa.int64()) for k in range(3)),
+                pa.array(sid, pa.binary()),
+            ]
+            if places:
+                flat = np.array([p for v in rows.values() for p in v[3]], np.int64).reshape(-1, 3)
+                ends = np.cumsum([0, *(len(v[3]) for v in rows.values())])
+                inner = pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], names=["d", "x", "lo"])
+                cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    kinds = T.StructType.fromDDL(f"{_SEGMENT}, {_PLACES}" if places else _SEGMENT)
+    names = kinds.names
+    both = packed_docs.join(found, ["d", "x"]).select("d", "x", "z", "hs")
+    return both.mapInArrow(run, kinds)
+
+
+def split(parts: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Segments of anchors with at most ``hot`` rows, which fit one task, and those of the others."""
+    many = cut(parts.groupBy("h").count().where(F.col("count") > hot).select("h"))
+    return parts.join(many, "h", "left_anti"), parts.join(many, "h", "left_semi")
 
 
 def _distinct(table: pa.Table) -> Segments:
@@ -183,7 +201,7 @@ def _distinct(table: pa.Table) -> Segments:
             best[k] = min(best[k], (d[i], x[i], lo[i]))
     at = np.array(kept, np.int64)
     where = np.array([best[i] for i in kept], np.int64).reshape(-1, 3)
-    return Segments(h[at], off[at].astype(np.int64), n[at].astype(np.int64), [body[i] for i in kept], count[at], where[:, 0], where[:, 1], where[:, 2])
+    return Segments(h[at], off[at].astype(np.int64), n[at].astype(np.int64), [body[i] for i in kept], count[at], *where.T, table.column("sid").take(pa.array(at)).to_pylist())
 
 
 _STAYS = "d long, x long, a long, b long"
@@ -252,10 +270,7 @@ def _starts(h: np.ndarray, rows: int) -> list[tuple[int, int]]:
 
 
 def marked(data: bytes, hs: np.ndarray, stays: list, unit: Unit) -> np.ndarray | None:
-    """Which units of the text a repeated window covers, None if it holds no window. stays: (x, a, b) of the document.
-
-    A text without a window gets here where its doc_id (or the lack of one) is that of other rows too.
-    """
+    """Which units of the text a repeated window covers, None if it holds no window. stays: (a, b) of windows that stay."""
     h, _, lo, hi = unit.runs(data)
     if not len(h):
         return None
@@ -265,10 +280,8 @@ def marked(data: bytes, hs: np.ndarray, stays: list, unit: Unit) -> np.ndarray |
     np.add.at(step, lo[keep], 1)
     np.add.at(step, hi[keep], -1)
     windows = np.cumsum(step)[: n - unit.window] > 0
-    x = signed(data)
     for s in stays:
-        if s["x"] == x:
-            windows[s["a"] : s["b"]] = False
+        windows[s["a"] : s["b"]] = False
     return _covered(windows, unit.window)
 
 
@@ -279,31 +292,27 @@ def _covered(windows: np.ndarray, length: int) -> np.ndarray:
     return total[np.minimum(i + 1, len(windows))] > total[np.maximum(i - length + 1, 0)]
 
 
-def resolve(docs: DataFrame, unit: Unit, find: Callable[[DataFrame], DataFrame], finish: Callable[..., tuple], schema: str, keep: tuple[str, ...]) -> DataFrame:
-    """Apply ``finish(text, marks, notes)`` to every row of ``docs``: the columns of ``keep``, then its columns.
+def resolve(docs: DataFrame, unit: Unit, find: Callable[..., DataFrame], finish: Callable[..., tuple], schema: str, keep: tuple[str, ...], places: bool = False) -> DataFrame:
+    """Apply ``finish(text, hs, notes)`` to every row of ``docs``: the columns of ``keep``, then its columns.
 
-    ``find`` turns segments into one row for each document d: ``stays``, the windows that are no
-    repeat as a list of (x, a, b), and ``notes`` for ``finish``, or null. marks is None for a
-    document without repeated anchors or without any window.
+    ``find(segments, anchors)`` gives d, x, hs and notes for documents; others get None for both.
     """
     texts = packed(docs, keep)
     found = anchors(docs, unit)
-    known = found.join(cut(find(segments(texts, found, unit))), "d", "left")
+    known = cut(find(cut(segments(texts, found, unit, places)), found).select("d", "x", "hs", "notes"))
 
     def run(batches):
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for z, hs, stays, notes in zip(batch.column("z").to_pylist(), *(batch.column(c) for c in ("hs", "stays", "notes"))):
-                data = unpress.decompress(z)
-                marks = marked(data, _ints(hs.values).view(np.uint64), stays.as_py() or [], unit) if hs.is_valid else None
-                out.append(finish(data, marks, notes.as_py() or []))
+            for z, hs, notes in zip(batch.column("z").to_pylist(), batch.column("hs"), batch.column("notes")):
+                out.append(finish(unpress.decompress(z), _ints(hs.values).view(np.uint64) if hs.is_valid else None, notes.as_py()))
             cols = [pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays([batch.column("rest"), *cols], names=["rest", *names])
 
     added = T.StructType.fromDDL(schema)
     names = added.names
     kinds = [{"long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.dataType.simpleString()] for f in added]
-    both = texts.join(known, "d", "left").select("rest", "z", "hs", "stays", "notes")
+    both = texts.join(known, ["d", "x"], "left").select("rest", "z", "hs", "notes")
     done = both.mapInArrow(run, T.StructType([both.schema["rest"], *added.fields]))
     return done.select("rest.*", *(F.col(f"`{n}`") for n in names))

@@ -4,7 +4,8 @@ Segments that hold a repeated anchor (see ``repeats``) are sorted by the suffixe
 the anchor: the blocks of each segment are the symbols of one text for ``suffixes.suffix_array``.
 In that order, windows with equal bytes right of the anchor are neighbours; comparing bytes of
 neighbours and the bytes left of the anchor settles each class of equal windows exactly up to a
-64-bit hash of the left part, and the class's earliest window survives.
+64-bit hash of the left part, and the class's earliest window survives. An anchor with more segments than
+one task should hold is taken apart: its windows are aggregated by their hashes, to the earliest of each.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _BYTES, of_bytes
-from .repeats import Segments, Unit, resolve, survivors
+from .repeats import HOT, Segments, Unit, marked, resolve, split, survivors
 from .suffixes import suffix_array
 
 LENGTH = 100
@@ -106,39 +108,65 @@ def _kept(data: bytes, marks: np.ndarray | None) -> tuple[bytes, list[tuple[int,
     return np.frombuffer(data, np.uint8)[~marks].tobytes(), _spans(marks)
 
 
-def finder(length: int = LENGTH):
-    def find(parts: DataFrame) -> DataFrame:
-        stays = survivors(parts, analyser(length)).groupBy("d").agg(F.collect_list(F.struct("x", "a", "b")).alias("stays"))
-        return stays.withColumn("notes", F.lit(None).cast("array<int>"))
+def _first_windows(parts: DataFrame, length: int) -> DataFrame:
+    """d, x, a, b: the earliest place of every window of ``parts``, by the window's hash and its anchor."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                h, off, n, d, x, lo = (np.asarray(part.column(k)).astype(np.int64) for k in ("h", "off", "n", "d", "x", "lo"))
+                e = [of_bytes(body).windows(length) for body in part.column("body").to_pylist()]
+                seg = np.repeat(np.arange(len(n)), n)
+                nth = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
+                cols = (h[seg], off[seg] - nth, np.concatenate(e).view(np.int64), d[seg], x[seg], lo[seg] + nth)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "g", "e", "d", "x", "a"])
+
+    windows = parts.drop("sid").mapInArrow(run, "h long, g long, e long, d long, x long, a long")
+    first = windows.groupBy("h", "g", "e").agg(F.min(F.struct("d", "x", "a")).alias("at"))
+    return first.select("at.d", "at.x", "at.a", (F.col("at.a") + 1).alias("b"))
+
+
+def finder(length: int = LENGTH, hot: int = HOT):
+    def find(parts: DataFrame, anchors: DataFrame) -> DataFrame:
+        cold, many = split(parts, hot)
+        stays = survivors(cold, analyser(length)).unionByName(_first_windows(many, length))
+        notes = stays.groupBy("d", "x").agg(F.collect_list(F.struct("a", "b")).alias("notes"))
+        return anchors.join(notes, ["d", "x"], "left")
 
     return find
 
 
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def _marks(data: bytes, hs: np.ndarray | None, notes: list | None, length: int) -> np.ndarray | None:
+    return None if hs is None else marked(data, hs, notes or [], unit(length))
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """Every row of ``docs`` with ``text`` less its repeated bytes; all other columns are kept.
 
     A byte goes if a ``length``-byte string that also starts earlier (in a smaller doc_id, or
     earlier in the same document) covers it; strings are judged on the input. Null texts become
     empty. A null doc_id comes after all others; rows with one doc_id and different texts are
     ordered by a hash of the text, and rows equal in both are one document and keep the same.
+    Anchors with more than ``hot`` distinct segments are split; the result does not depend on it.
     Bytes left over from a character that was cut apart are dropped from the text. An empty table
     gives an empty table.
     """
 
-    def finish(data, marks, _):
-        return (_kept(data, marks)[0].decode("utf-8", "ignore"),)
+    def finish(data, hs, notes):
+        return (_kept(data, _marks(data, hs, notes, length))[0].decode("utf-8", "ignore"),)
 
     keep = tuple(c for c in docs.columns if c != "text")
-    done = resolve(docs, unit(length), finder(length), finish, "text string", keep)
+    done = resolve(docs, unit(length), finder(length, hot), finish, "text string", keep)
     return done.select(*docs.columns)
 
 
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def digests(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left) by row; see ``dedup``."""
 
-    def finish(data, marks, _):
-        kept, spans = _kept(data, marks)
+    def finish(data, hs, notes):
+        kept, spans = _kept(data, _marks(data, hs, notes, length))
         return len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()
 
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return resolve(docs, unit(length), finder(length), finish, schema, ("doc_id",))
+    return resolve(docs, unit(length), finder(length, hot), finish, schema, ("doc_id",))

@@ -47,7 +47,8 @@ def test_suffix_array():
         assert suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
-def test_suffix_dedup(spark, texts):
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_suffix_dedup(spark, texts, hot):
     seen, want = set(), {}
     for i, t in texts:
         b = (t or "").encode()
@@ -59,13 +60,14 @@ def test_suffix_dedup(spark, texts):
         kept = bytes(c for c, g in zip(b, gone) if not g)
         spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
         want[i] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(documents(spark, texts)).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(documents(spark, texts), hot=hot).collect()}
     assert got == want
     whole = suffix_dedup.dedup(documents(spark, texts))
     assert whole.columns == documents(spark, texts).columns and whole.count() == len(texts)
 
 
-def test_debruijn_dedup(spark, texts):
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_debruijn_dedup(spark, texts, hot):
     met = collections.Counter()
     for _, t in texts:
         w = re.findall(WORDS, t or "")
@@ -78,9 +80,9 @@ def test_debruijn_dedup(spark, texts):
             if met[tuple(w[p : p + 35])] > 1:
                 gone[p : p + 35] = [True] * 35
         want[i] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest())
-    rows = debruijn_dedup.digests(documents(spark, texts)).collect()
+    rows = debruijn_dedup.digests(documents(spark, texts), hot=hot).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == want
-    assert sum(r.n_paths for r in rows) == debruijn_dedup.paths(documents(spark, texts)).count() > 0
+    assert sum(r.n_paths for r in rows) == debruijn_dedup.paths(documents(spark, texts), hot=hot).count() > 0
 
 
 def test_debruijn_dedup_of_null_and_shared_ids(spark):
@@ -103,6 +105,37 @@ def test_debruijn_paths(spark):
     assert [(r.edges, r.times) for r in got] == [(200 - 34, 2)]
 
 
+def test_debruijn_paths_of_a_periodic_text(spark):
+    """50 words over and over: 50 distinct edges, the first ones met once more than the last."""
+    period = [f"p{k}" for k in range(50)]
+    words = [period[k % 50] for k in range(434)]
+    got = debruijn_dedup.paths(documents(spark, [(1, " ".join(words))])).collect()
+    edges = 434 - 34
+    assert sum(r.edges for r in got) == 50 and sum(r.edges * r.times for r in got) == edges
+    assert debruijn_dedup.digests(documents(spark, [(1, " ".join(words))])).first().n_removed == 434
+
+
+def test_debruijn_removes_what_its_paths_say(spark, monkeypatch):
+    span = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, f"a {span}"), (2, f"{span} b")]
+    assert [r.n_removed for r in debruijn_dedup.digests(documents(spark, rows)).collect()] == [60, 60]
+    whole = debruijn_dedup.glue
+    monkeypatch.setattr(debruijn_dedup, "glue", lambda found: whole(found).where("false"))
+    assert [r.n_removed for r in debruijn_dedup.digests(documents(spark, rows)).collect()] == [0, 0]
+
+
+def test_one_anchor_in_very_many_segments(spark):
+    """A phrase in ever new surroundings: no task holds its segments, and passages that do repeat are found."""
+    rng = random.Random(4)
+    phrase = "the same eight words stand here each time"
+    rows = [(k, " ".join([f"u{rng.randrange(10**9)}" for _ in range(40)] + [phrase] + [f"v{rng.randrange(10**9)}" for _ in range(40)])) for k in range(6000)]
+    rows += [(6000 + k, f"x{k} " + rows[k][1]) for k in range(5)]
+    got = {r.doc_id: r.n_removed for r in debruijn_dedup.digests(documents(spark, rows)).collect()}
+    assert {k for k, n in got.items() if n} == {*range(5), *range(6000, 6005)} and {got[k] for k in range(5)} == {88}
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.digests(documents(spark, rows)).collect()}
+    assert {k for k, n in got.items() if n} == set(range(6000, 6005))
+
+
 def _fingerprint(text):
     w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in re.findall(WORDS, text or "")]
     shingles = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
