@@ -36,8 +36,9 @@ class Encoder:
 
     A plain byte-level tokenizer always begins a new word at a space between two other characters that are no
     white space, whatever stands around them; its texts are cut there, and each distinct word is encoded
-    once and remembered. Texts for any other file are encoded whole. Strings of special tokens in
-    a text are ordinary text.
+    once and remembered. A word of Latin letters with signs behind it goes to the tokenizer's model at once, since
+    only its letters and its signs can be one unit each; all others, and texts for any other file, go through
+    the whole tokenizer. Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -45,23 +46,49 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             self.cuts = _starts_words_at_spaces(json.load(f))
         self.known: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def _unit(self, shown: str) -> bytes:
+        if shown not in self.units:
+            self.units[shown] = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+        return self.units[shown]
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a space and ``word``, or None if it has anything but letters, signs behind them and single line feeds."""
+        parts, out = [_SIMPLE.fullmatch(x) for x in word.split("\n")], []
+        if None in parts:
+            return None
+        for k, m in enumerate(parts):
+            out += [self._unit(_SHOWN["\n"])] if k else []
+            out.append(self._unit(("" if k else _SHOWN[" "]) + m[1].translate(_LETTERS)))
+            out += [self._unit(m[2])] if m[2] else []
+        return b"".join(out)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self._encode(texts)
         known = self.known
-        if len(known) > _CACHE:
-            known.clear()
+        for cache in (known, self.units):
+            if len(cache) > _CACHE:
+                cache.clear()
         words = [_CUT.split(x) if _RUN.search(x) else x.split(" ") for x in texts]
-        new = [w for w in {w for ws in words for w in ws[1:]} if w not in known]
-        known.update(zip(new, self._encode([f" {w}" for w in new])))
+        rest = []
+        for w in {w for ws in words for w in ws[1:]}:
+            if w not in known:
+                ids = self._word(w)
+                if ids is None:
+                    rest.append(w)
+                else:
+                    known[w] = ids
+        known.update(zip(rest, self._encode([f" {w}" for w in rest])))
         first = self._encode([ws[0] for ws in words])
         return [a + b"".join(map(known.__getitem__, ws[1:])) for a, ws in zip(first, words)]
 
@@ -69,6 +96,19 @@ class Encoder:
 _CACHE = 400_000  # words of one worker, some 70 MB
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s (?:\s|\Z)")  # a space that is part of a longer run or ends one: not every space begins a word there
+_SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@\[-`{-~]*)")
+
+
+def _shown() -> dict[str, str]:
+    """How byte-level tokenizers write the characters up to U+024F: visible bytes as they are, others from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in visible]
+    of = {x: chr(x) for x in visible} | {x: chr(256 + k) for k, x in enumerate(hidden)}
+    return {chr(c): "".join(of[b] for b in chr(c).encode()) for c in range(0x250)}
+
+
+_SHOWN = _shown()
+_LETTERS = str.maketrans({c: s for c, s in _SHOWN.items() if c.isalpha()})
 
 
 def _starts_words_at_spaces(spec: dict) -> bool:
