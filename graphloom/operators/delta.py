@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import changed, log2_branches, round6
+from .graph import spread, vertices
 
 
 def node_delta(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -42,13 +45,29 @@ def ep_delta(base: DataFrame, head: DataFrame, metrics: list[str]) -> DataFrame:
     )
 
 
-def review_surface(delta: DataFrame, base_reach: DataFrame, head_reach: DataFrame) -> DataFrame:
-    """One row: surface_union (distinct entrypoints), surface_sum, unreachable_touched."""
+@dataclass
+class Side:
+    """One snapshot as the review surface needs it: pairs(a, b, calls), and ``blast`` by symbol."""
+
+    nodes: DataFrame
+    pairs: DataFrame
+    blast: DataFrame
+
+
+def review_surface(delta: DataFrame, base: Side, head: Side) -> DataFrame:
+    """One row: surface_union (distinct entrypoints that reach a changed node), surface_sum, unreachable_touched.
+
+    A removed node is looked up in the base, any other in the head. No pair of entrypoint and node is formed: sums come from
+    the blast radius, the union from one walk up from all changed nodes of a side.
+    """
     removed = F.col("classification") == "REMOVED"
-    hits = (
-        delta.where(removed).join(base_reach, F.col("symbol") == F.col("v")).select("file", "symbol", "ep")
-        .unionByName(delta.where(~removed).join(head_reach, F.col("symbol") == F.col("v")).select("file", "symbol", "ep"))
-    )
-    sums = hits.agg(F.countDistinct("ep").alias("surface_union"), F.count("*").alias("surface_sum"))
-    lost = delta.join(hits, ["file", "symbol"], "left_anti").agg(F.count("*").alias("unreachable_touched"))
-    return sums.crossJoin(lost)  # one row each
+    counts, eps = None, None
+    for side, rows in ((base, delta.where(removed)), (head, delta.where(~removed))):
+        met = rows.join(side.blast, "symbol", "left").select(F.coalesce("blast", F.lit(0)).alias("n"))
+        back = side.pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        up = spread(back, rows.select("symbol").distinct())
+        found = vertices(side.nodes).where("entrypoint").join(up, "symbol", "left_semi").select("symbol")
+        counts = met if counts is None else counts.unionByName(met)
+        eps = found if eps is None else eps.unionByName(found)
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("surface_sum"), F.count_if(F.col("n") == 0).alias("unreachable_touched"))
+    return eps.agg(F.countDistinct("symbol").alias("surface_union")).crossJoin(sums)  # one row each

@@ -41,44 +41,115 @@ def reach(pairs: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> Dat
     raise RuntimeError("the frontier did not empty")
 
 
-def longest(pairs: DataFrame, acyclic: bool, max_rounds: int = 40) -> DataFrame:
-    """a, b, hops: all pairs joined by a path of one edge or more; most hops if the graph is acyclic.
+def jump(links: DataFrame, sums: tuple[str, ...] = (), ends: tuple[str, ...] = ()) -> DataFrame:
+    """Follow ``links(v, to, ...)``, one for each v, to the first end that has no link: v, to, least, sums and ends added up.
 
-    Paths double in length each round, so a graph of depth n takes about log2 n rounds. The result
-    has a row for each reachable pair.
+    Rows double their way each round. On a cycle of links no end comes; after enough rounds for a way through all
+    links such rows keep a ``to`` that has a link, and ``least`` is the smallest member of the cycle.
+    ``ends`` are bool columns that hold if they hold anywhere on the way.
     """
-    known = cut(pairs.select("a", "b").distinct().withColumn("hops", F.lit(1)))
-    size = (-1, -1)
+    now = cut(links.withColumn("least", F.col("v")))
+    rounds = max(1, now.count()).bit_length() + 1
+    for _ in range(rounds):
+        nxt = now.select(F.col("v").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"), *(F.col(c).alias(f"_{c}") for c in (*sums, *ends)))
+        both = now.join(nxt, "to", "left")
+        more = cut(
+            both.select(
+                "v", F.coalesce("_to", "to").alias("to"), F.least("least", F.coalesce("_least", "least")).alias("least"),
+                *((F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in sums),
+                *((F.col(c) | F.coalesce(F.col(f"_{c}"), F.lit(False))).alias(c) for c in ends), F.col("_to").isNotNull().alias("_moved"),
+            )
+        )
+        now = more.drop("_moved")
+        if more.where("_moved").isEmpty():
+            break
+    return now
+
+
+def relax(start: DataFrame, steps: DataFrame, most: bool = True, max_rounds: int = 100_000) -> DataFrame:
+    """v, x: the largest (or smallest) x that reaches v from ``start(v, x)`` over ``steps(a, b, w)``, growing by w at each."""
+    fold = F.max if most else F.min
+    known = front = cut(start.select("v", "x"))
     for _ in range(max_rounds):
-        left, right = known.alias("x"), known.alias("y")
-        twice = left.join(right, F.col("x.b") == F.col("y.a")).select(
-            F.col("x.a").alias("a"), F.col("y.b").alias("b"), ((F.col("x.hops") + F.col("y.hops")) if acyclic else F.lit(1)).alias("hops")
-        )
-        known = cut(known.unionByName(twice).groupBy("a", "b").agg(F.max("hops").alias("hops")))
-        now = known.agg(F.count("*"), F.sum("hops")).first()
-        if tuple(now) == size:
+        told = front.join(steps, F.col("v") == F.col("a")).select(F.col("b").alias("v"), (F.col("x") + F.col("w") if most else F.col("x")).alias("new"))
+        told = told.groupBy("v").agg(fold("new").alias("new")).join(known, "v", "left")
+        front = cut(told.where(F.col("x").isNull() | (F.col("new") > F.col("x") if most else F.col("new") < F.col("x"))).select("v", F.col("new").alias("x")))
+        if front.isEmpty():
             return known
-        size = tuple(now)
-    raise RuntimeError("the closure did not settle")
+        known = cut(known.join(front.select("v"), "v", "left_anti").unionByName(front))
+    raise RuntimeError("the values did not settle")
 
 
-def peel(pairs: DataFrame, rounds: int = 3) -> DataFrame:
-    """Drop edges that cannot lie on a cycle: ends without a way in or without a way out."""
-    for _ in range(rounds):
+def spread(pairs: DataFrame, sources: DataFrame) -> DataFrame:
+    """symbol: everything that any of ``sources(symbol)`` reaches over pairs(a, b), the sources included; one row each."""
+    start = sources.select(F.col("symbol").alias("v"), F.lit(0).alias("x")).distinct()
+    return relax(start, pairs.select("a", "b", F.lit(0).alias("w"))).select(F.col("v").alias("symbol"))
+
+
+def trim(pairs: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    """Drop edges that cannot lie on a cycle, until all ends have a way in and a way out."""
+    n = -1
+    for _ in range(max_rounds):
         ins, outs = pairs.select(F.col("b").alias("k")).distinct(), pairs.select(F.col("a").alias("k")).distinct()
-        pairs = pairs.join(ins, pairs.a == ins.k, "left_semi").join(outs, pairs.b == outs.k, "left_semi")
-    return cut(pairs.where("a <> b").select("a", "b").distinct())
-
-
-def components(symbols: DataFrame, pairs: DataFrame) -> DataFrame:
-    """symbol, comp: strongly connected components, named by their smallest member."""
-    closure = longest(peel(pairs), acyclic=False)
-    back = closure.select(F.col("a").alias("b"), F.col("b").alias("a"))
-    both = closure.select("a", "b").join(back, ["a", "b"]).groupBy(F.col("a").alias("symbol")).agg(F.min("b").alias("least"))
-    return cut(
-        symbols.select("symbol").distinct().join(both, "symbol", "left")
-        .select("symbol", F.least("symbol", F.coalesce("least", "symbol")).alias("comp"))
-    )
+        pairs = cut(pairs.join(ins, pairs.a == ins.k, "left_semi").join(outs, pairs.b == outs.k, "left_semi"))
+        now = pairs.count()
+        if now in (0, n):
+            return pairs
+        n = now
+    raise RuntimeError("the trimming did not end")
+
+
+def _contracted(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges with chains (one way in, one way out) drawn together, and v, start, end, least of the members of chains."""
+    ways = pairs.select(F.col("a").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(pairs.select("b", F.lit(0), F.lit(1)))
+    inner = cut(ways.groupBy("v").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o = 1 and i = 1").select("v"))
+    if inner.isEmpty():
+        return pairs, None
+    a, b = inner.select(F.col("v").alias("a")), inner.select(F.col("v").alias("b"))
+    ends = jump(pairs.join(a, "a").select(F.col("a").alias("v"), F.col("b").alias("to"))).withColumnRenamed("to", "end")
+    starts = jump(pairs.join(b, "b").select(F.col("b").alias("v"), F.col("a").alias("to"))).select("v", F.col("to").alias("start"))
+    members = cut(ends.join(starts, "v"))
+    short = pairs.join(a, "a", "left_anti").join(members.select(F.col("v").alias("b"), "end"), "b", "left")
+    return cut(short.select("a", F.coalesce("end", "b").alias("b")).where("a <> b").distinct()), members
+
+
+def components(symbols: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """symbol, comp: strongly connected components, named by their smallest member.
+
+    Chains are drawn together, ends that lie on no cycle trimmed; then each vertex takes the smallest symbol that reaches
+    it as its colour, and what reaches that symbol inside the colour is its component. Rounds follow the
+    diameter of the components; no pair of vertices is ever a row.
+    """
+    edges, members = _contracted(cut(pairs.where("a <> b").select("a", "b").distinct()))
+    done = None
+    for _ in range(max_rounds):
+        edges = trim(edges)
+        if edges.isEmpty():
+            break
+        ends = edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct()
+        colour = relax(ends.withColumn("x", F.col("v")), edges.withColumn("w", F.lit(0)), most=False)
+        x, y = colour.select(F.col("v").alias("a"), F.col("x").alias("xa")), colour.select(F.col("v").alias("b"), F.col("x").alias("xb"))
+        edges = cut(edges.join(x, "a").join(y, "b").where("xa = xb").select("a", "b"))  # no cycle has two colours
+        back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).alias("w"))
+        found = relax(colour.where("v = x").select("v", F.lit(0).alias("x")), back).select("v")
+        found = cut(found.join(colour, "v").withColumnRenamed("x", "comp"))
+        done = found if done is None else cut(done.unionByName(found))
+        gone = found.select(F.col("v").alias("a"))
+        edges = cut(edges.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti"))
+    else:
+        raise RuntimeError("the components did not end")
+    if done is None:
+        done = edges.select(F.col("a").alias("v"), F.col("a").alias("comp"))
+    if members is not None:  # a chain belongs to the component at both its ends, or is a cycle of its own
+        s, e = done.select(F.col("v").alias("start"), F.col("comp").alias("cs")), done.select(F.col("v").alias("end"), F.col("comp").alias("ce"))
+        m = members.join(s, "start", "left").join(e, "end", "left").join(members.select(F.col("v").alias("end"), F.lit(True).alias("ring")), "end", "left")
+        on = F.when(F.col("ring"), F.col("least")).when(F.col("start") == F.col("end"), F.coalesce("cs", "start")).when(F.col("cs") == F.col("ce"), F.col("cs"))
+        m = m.select("v", on.alias("comp")).where("comp is not null")
+        # a chain from a vertex to itself makes a component with it
+        m = m.unionByName(done).unionByName(m.select(F.col("comp").alias("v"), "comp"))
+        least = m.groupBy("comp").agg(F.min("v").alias("least"))
+        done = cut(m.join(least, "comp").select("v", F.col("least").alias("comp")).distinct())
+    return cut(symbols.select("symbol").distinct().join(done.withColumnRenamed("v", "symbol"), "symbol", "left").select("symbol", F.coalesce("comp", "symbol").alias("comp")))
 
 
 def condense(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -87,46 +158,97 @@ def condense(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return cut(pairs.join(x, "a").join(y, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
 
 
+def _single(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges of vertices with one way out, and those of all others."""
+    ways = edges.groupBy("a").agg(F.count("*").alias("n"))
+    both = cut(edges.join(ways, "a"))
+    return both.where("n = 1").drop("n"), both.where("n > 1").drop("n")
+
+
+def hops(condensed: DataFrame) -> DataFrame:
+    """comp, hops: most hops to a sink, for components that have a way out. Ways without a branch are taken at once."""
+    one, many = _single(condensed.select("a", "b"))
+    far = jump(one.select(F.col("a").alias("v"), F.col("b").alias("to"), F.lit(1).cast("long").alias("n")), sums=("n",)).select("v", F.col("to").alias("end"), "n")
+    up = cut(
+        many.join(far.select(F.col("v").alias("b"), "end", "n"), "b", "left")
+        .groupBy(F.coalesce("end", "b").alias("a"), F.col("a").alias("b")).agg(F.max(F.coalesce("n", F.lit(0)) + 1).alias("w"))
+    )
+    sinks = up.select(F.col("a").alias("v")).union(far.select("end")).distinct().join(many.select(F.col("a").alias("v")).distinct(), "v", "left_anti")
+    known = relax(sinks.withColumn("x", F.lit(0).cast("long")), up)
+    rest = far.join(known, F.col("end") == known.v).select(far.v, (F.col("n") + F.col("x")).alias("x"))
+    return known.where("x > 0").unionByName(rest).select(F.col("v").alias("comp"), F.col("x").alias("hops"))
+
+
 def depth(comps: DataFrame, condensed: DataFrame) -> DataFrame:
     """symbol, depth: most hops to a sink over the condensation, 1 at least."""
-    hops = longest(condensed, acyclic=True).groupBy(F.col("a").alias("comp")).agg(F.max("hops").alias("hops"))
-    return comps.join(hops, "comp", "left").select("symbol", F.greatest(F.coalesce("hops", F.lit(0)), F.lit(1)).cast("long").alias("depth"))
+    return comps.join(hops(condensed), "comp", "left").select("symbol", F.greatest(F.coalesce("hops", F.lit(0)), F.lit(1)).cast("long").alias("depth"))
+
+
+def comp_reach(nodes: DataFrame, comps: DataFrame, condensed: DataFrame) -> DataFrame:
+    """source, comp: the components that each entrypoint's component reaches, itself included."""
+    eps = nodes.where("entrypoint").join(comps, "symbol").select(F.col("comp").alias("symbol")).distinct()
+    return reach(condensed, eps).select(F.col("ep").alias("source"), F.col("v").alias("comp"))
+
 
+def everything(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """symbol: all nodes and all ends of edges."""
+    return nodes.select("symbol").union(pairs.select("a")).union(pairs.select("b")).distinct()
 
-def ep_metrics(nodes: DataFrame, pairs: DataFrame, reached: DataFrame) -> DataFrame:
-    """One row for each entrypoint: ep, branching_log2, mass, reach, files, own_branches, max_cone_node, escapes_in_cone.
 
-    Externals are crossed and their calls weigh in the mass; only nodes count in the rest.
+def ep_metrics(nodes: DataFrame, pairs: DataFrame, comps: DataFrame, reached: DataFrame) -> DataFrame:
+    """One row for each entrypoint: ep, file, kind, branching_log2, mass, reach, files, own_branches, max_cone_node, max_cone_node_log2,
+    escapes_in_cone.
+
+    ``reached`` holds components by source component (``comp_reach``): what a component adds is folded first, so a cone
+    costs its components and not its vertices. Externals are crossed and their calls weigh in the mass; only
+    nodes count in the rest.
     """
-    v = vertices(nodes)
-    out = pairs.groupBy(F.col("a").alias("v")).agg(F.sum("calls").alias("calls"))
-    mass = reached.join(out, "v").groupBy("ep").agg(F.sum("calls").alias("mass"))
-    cone = reached.join(v.select(F.col("symbol").alias("v"), "file", "branches", "escapes"), "v")
-    most = F.when(F.col("branches") >= 1, F.struct((-F.col("branches")).alias("n"), "file", F.col("v").alias("symbol")))
-    folds = cone.groupBy("ep").agg(
-        round6(F.sum(log2_branches(F.col("branches")))).alias("branching_log2"),
-        F.count("*").alias("reach"),
-        F.countDistinct("file").alias("files"),
-        F.min(most).alias("most"),
-        F.count_if(F.coalesce("escapes", F.lit(False))).alias("escapes_in_cone"),
-    )
-    own = v.where("entrypoint").select(F.col("symbol").alias("ep"), F.col("branches").cast("long").alias("own_branches"))
-    return own.join(folds, "ep").join(mass, "ep", "left").select(
-        "ep", "branching_log2", F.coalesce("mass", F.lit(0)).cast("long").alias("mass"), "reach", "files", "own_branches",
-        F.coalesce("most.symbol", "ep").alias("max_cone_node"), "escapes_in_cone",
+    v = vertices(nodes).join(comps, "symbol")
+    out = pairs.join(comps.withColumnRenamed("symbol", "a"), "a").groupBy("comp").agg(F.sum("calls").alias("calls"))
+    most = F.when(F.col("branches") >= 1, F.struct((-F.col("branches")).alias("n"), "file", "symbol"))
+    parts = v.groupBy("comp").agg(
+        F.sum(log2_branches(F.col("branches"))).alias("log2"), F.count("*").alias("n"), F.min(most).alias("most"),
+        F.count_if(F.coalesce("escapes", F.lit(False))).alias("escapes"),
+    )
+    whole = cut(parts.join(out, "comp", "full"))
+    folds = reached.join(whole, "comp").groupBy("source").agg(
+        round6(F.sum("log2")).alias("branching_log2"), F.coalesce(F.sum("calls"), F.lit(0)).cast("long").alias("mass"), F.coalesce(F.sum("n"), F.lit(0)).alias("reach"),
+        F.min("most").alias("most"), F.coalesce(F.sum("escapes"), F.lit(0)).alias("escapes_in_cone"),
+    )
+    files = reached.join(v.select("comp", "file").distinct(), "comp").groupBy("source").agg(F.countDistinct("file").alias("files"))
+    kind = F.col("entrypoint_kind") if "entrypoint_kind" in nodes.columns else F.lit(None).cast("string")
+    own = v.where("entrypoint").select(F.col("symbol").alias("ep"), "file", kind.alias("kind"), F.col("branches").cast("long").alias("own_branches"), F.col("comp").alias("source"))
+    log = F.coalesce(F.log2((-F.col("most.n")).cast("double")), log2_branches(F.col("own_branches")))
+    return own.join(folds.join(files, "source"), "source").select(
+        "ep", "file", "kind", "branching_log2", "mass", "reach", "files", "own_branches", F.coalesce("most.symbol", "ep").alias("max_cone_node"),
+        round6(log).alias("max_cone_node_log2"), "escapes_in_cone",
     )
 
 
-def blast(nodes: DataFrame, reached: DataFrame) -> DataFrame:
+def top_nodes(nodes: DataFrame, comps: DataFrame, reached: DataFrame, top: int = 5) -> DataFrame:
+    """ep, nth, symbol, log2: the ``top`` nodes of each cone by log2 branches, ties by file and symbol.
+
+    Each component brings its own best nodes, so a cone is ranked over a few rows for each component.
+    """
+    v = vertices(nodes).where("branches >= 1").join(comps, "symbol")
+    order = (F.desc("branches"), F.asc("file"), F.asc("symbol"))
+    best = v.withColumn("k", F.row_number().over(Window.partitionBy("comp").orderBy(*order))).where(F.col("k") <= top)
+    ranked = reached.join(best.select("comp", "symbol", "file", "branches"), "comp").withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy(*order)))
+    eps = vertices(nodes).where("entrypoint").select(F.col("symbol").alias("ep"), "symbol").join(comps, "symbol").select("ep", F.col("comp").alias("source"))
+    kept = ranked.where(F.col("nth") <= top).select("source", "nth", "symbol", round6(log2_branches(F.col("branches"))).alias("log2"))
+    return eps.join(kept, "source").select("ep", F.col("nth").cast("long").alias("nth"), "symbol", "log2")
+
+
+def blast(nodes: DataFrame, comps: DataFrame, reached: DataFrame) -> DataFrame:
     """symbol, blast: number of entrypoints whose cone holds the node, 0 if none."""
-    met = reached.groupBy(F.col("v").alias("symbol")).agg(F.count("*").alias("n"))
-    return vertices(nodes).select("symbol").join(met, "symbol", "left").select("symbol", F.coalesce("n", F.lit(0)).cast("long").alias("blast"))
+    eps = vertices(nodes).where("entrypoint").join(comps, "symbol").groupBy(F.col("comp").alias("source")).agg(F.count("*").alias("k"))
+    met = reached.join(eps, "source").groupBy("comp").agg(F.sum("k").alias("n"))
+    return vertices(nodes).select("symbol").join(comps, "symbol").join(met, "comp", "left").select("symbol", F.coalesce("n", F.lit(0)).cast("long").alias("blast"))
 
 
-def unreachable(nodes: DataFrame, reached: DataFrame) -> DataFrame:
-    """nodes, share, files of what no cone holds; a file counts only if none of its nodes is reached. No entrypoint: nulls."""
-    seen = reached.select(F.col("v").alias("symbol")).distinct().withColumn("seen", F.lit(True))
-    v = vertices(nodes).join(seen, "symbol", "left").withColumn("lost", F.col("seen").isNull())
+def unreachable(nodes: DataFrame, seen: DataFrame) -> DataFrame:
+    """nodes, share, files of what is not in ``seen(symbol)``; a file counts only if none of its nodes is. No entrypoint: nulls."""
+    v = vertices(nodes).join(seen.distinct().withColumn("seen", F.lit(True)), "symbol", "left").withColumn("lost", F.col("seen").isNull())
     some = F.max(F.col("entrypoint").cast("int")) == 1
     whole = v.agg(some.alias("some"), F.count_if("lost").alias("n"), F.count("*").alias("total"))
     files = v.groupBy("file").agg(F.bool_and("lost").alias("lost")).agg(F.count_if("lost").alias("files"))
@@ -157,32 +279,47 @@ def component_terms(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     return cut(t.select("comp", "b", "a", own.alias("own"), "fallback", is_open.alias("open")))
 
 
-def variety(terms: DataFrame, condensed: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def variety(terms: DataFrame, condensed: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """comp, vty, floor, taint: what a component costs inline, at its best, and whether a fallback is in it.
 
     vty is the component's own ln branches plus, for each successor, its whole vty if it is open and
-    its ln arity if not; floor takes the own floor instead. Unrolled by rounds through open
-    successors, with the number of ways to get there.
+    its ln arity if not; floor takes the own floor instead. Folded by levels over the open successors, ways without
+    a branch at once: one value for each component, in doubles.
     """
     to = condensed.join(terms.select(F.col("comp").alias("b"), F.col("a").alias("arm"), F.col("open").alias("b_open")), "b")
     closed = to.where("not b_open").groupBy("a").agg(F.sum("arm").alias("arms")).withColumnRenamed("a", "comp")
-    onward = cut(to.where("b_open").select("a", "b"))
-    local = cut(
-        terms.join(closed, "comp", "left").select(
-            F.col("comp").alias("cur"), (F.col("b") + F.coalesce("arms", F.lit(0.0))).alias("v"),
-            (F.col("own") + F.coalesce("arms", F.lit(0.0))).alias("f"), "fallback",
-        )
+    arms = F.coalesce("arms", F.lit(0.0))
+    own = cut(terms.join(closed, "comp", "left").select(F.col("comp").alias("v"), (F.col("b") + arms).alias("vty"), (F.col("own") + arms).alias("floor"), F.col("fallback").alias("taint")))
+    one, many = _single(to.where("b_open").select("a", "b"))
+    # a way of single steps: what its members add, and where it ends
+    way = jump(own.join(one, F.col("v") == F.col("a")).select("v", F.col("b").alias("to"), "vty", "floor", "taint"), ("vty", "floor"), ("taint",))
+    way = cut(way.select("v", F.col("to").alias("end"), F.col("vty").alias("w_vty"), F.col("floor").alias("w_floor"), F.col("taint").alias("w_taint")))
+    zero, no = F.lit(0.0), F.lit(False)
+    steps = cut(
+        many.join(way.withColumnRenamed("v", "b"), "b", "left")
+        .select("a", F.coalesce("end", "b").alias("b"), F.coalesce("w_vty", zero).alias("w_vty"), F.coalesce("w_floor", zero).alias("w_floor"), F.coalesce("w_taint", no).alias("w_taint"))
     )
-    front = cut(terms.select(F.col("comp").alias("root"), F.col("comp").alias("cur"), F.lit(1).cast("long").alias("ways")))
-    every = front
-    for _ in range(max_rounds):
-        front = cut(front.join(onward, F.col("cur") == F.col("a")).groupBy("root", F.col("b").alias("cur")).agg(F.sum("ways").alias("ways")))
-        if front.isEmpty():
+    ends = own.join(one.select(F.col("a").alias("v")), "v", "left_anti")  # branch, or go nowhere
+    leaf = ends.join(many.select(F.col("a").alias("v")).distinct(), "v", "left_anti")
+    level = relax(leaf.select("v", F.lit(0).alias("x")), steps.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).alias("w")).distinct())
+    ends = cut(ends.join(level, "v").withColumnRenamed("x", "level"))
+    known = cut(leaf)
+    for k in range(1, max_rounds):
+        here = ends.where(F.col("level") == k)
+        if here.isEmpty():
             break
-        every = every.unionByName(front)
-    return every.join(local, "cur").groupBy(F.col("root").alias("comp")).agg(
-        F.sum(F.col("ways") * F.col("v")).alias("vty"), F.sum(F.col("ways") * F.col("f")).alias("floor"), F.bool_or("fallback").alias("taint")
+        mine = steps.join(here.select(F.col("v").alias("a")), "a", "left_semi")
+        below = mine.join(known, F.col("b") == F.col("v")).groupBy(F.col("a").alias("v")).agg(
+            F.sum(F.col("w_vty") + F.col("vty")).alias("s_vty"), F.sum(F.col("w_floor") + F.col("floor")).alias("s_floor"), F.bool_or(F.col("w_taint") | F.col("taint")).alias("s_taint")
+        )
+        new = here.join(below, "v").select("v", (F.col("vty") + F.col("s_vty")).alias("vty"), (F.col("floor") + F.col("s_floor")).alias("floor"), (F.col("taint") | F.col("s_taint")).alias("taint"))
+        known = cut(known.unionByName(new))
+    else:
+        raise RuntimeError("the levels did not end")
+    along = way.join(known.withColumnRenamed("v", "end"), "end").select(
+        "v", (F.col("w_vty") + F.col("vty")).alias("vty"), (F.col("w_floor") + F.col("floor")).alias("floor"), (F.col("w_taint") | F.col("taint")).alias("taint")
     )
+    return known.unionByName(along).withColumnRenamed("v", "comp")
 
 
 def dividends(eps: DataFrame, comps: DataFrame, folds: DataFrame) -> DataFrame:

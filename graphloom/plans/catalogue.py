@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import glob_match, log2_branches, round6
@@ -48,9 +49,14 @@ _SCC = (
     "LEFT JOIN (SELECT p.a, p.b FROM hull p JOIN hull q ON p.a = q.b AND p.b = q.a) x ON x.a = n.symbol GROUP BY n.symbol), "
     'cond AS (SELECT DISTINCT x.comp AS a, y.comp AS b FROM pc_edges e JOIN comps x ON x.symbol = e."from" JOIN comps y ON y.symbol = e."to" WHERE x.comp <> y.comp)'
 )
+_PL = ctes("pl_nodes", "pl_edges")
+_LAYERS = (
+    "comps AS (SELECT symbol, symbol AS comp FROM pl_nodes), "
+    'cond AS (SELECT DISTINCT "from" AS a, "to" AS b FROM pl_edges)'
+)
 _TERMS = (
     "terms AS (SELECT comp, sum(CASE WHEN branches >= 1 THEN ln(branches) ELSE 0 END) AS b, sum(coalesce(ln(outcome_arity), 0)) AS a, "
-    "bool_or(outcome_arity IS NULL) AS fallback, bool_or(escapes OR outcome_arity IS NULL) AS open FROM comps JOIN pc_nodes USING (symbol) GROUP BY comp), "
+    "bool_or(outcome_arity IS NULL) AS fallback, bool_or(escapes OR outcome_arity IS NULL) AS open FROM comps JOIN pl_nodes USING (symbol) GROUP BY comp), "
     "ways(root, cur) AS (SELECT comp, comp FROM terms UNION ALL SELECT ways.root, c.b FROM ways JOIN cond c ON c.a = ways.cur JOIN terms t ON t.comp = c.b AND t.open), "
     "arms AS (SELECT c.a AS comp, sum(t.a) AS arms FROM cond c JOIN terms t ON t.comp = c.b WHERE NOT t.open GROUP BY c.a), "
     "folds AS (SELECT w.root AS comp, sum(t.b + coalesce(m.arms, 0)) AS vty, sum(CASE WHEN t.open THEN t.b ELSE least(t.b, t.a) END + coalesce(m.arms, 0)) AS floor, "
@@ -58,15 +64,15 @@ _TERMS = (
 )
 _DIV = (
     "SELECT n.symbol AS ep, round(least(exp(least(vty, 50.0)), 1000000.0), 6) AS variety, round(least(exp(least(vty - floor, 50.0)), 1000000.0), 6) AS dividend, "
-    "round((vty - floor) / ln(2.0), 6) AS dividend_log2, taint AS fallback FROM pc_nodes n JOIN comps USING (symbol) JOIN folds USING (comp) WHERE n.entrypoint"
+    "round((vty - floor) / ln(2.0), 6) AS dividend_log2, taint AS fallback FROM pl_nodes n JOIN comps USING (symbol) JOIN folds USING (comp) WHERE n.entrypoint"
 )
 _METRICS = (
     "cone AS (SELECT r.ep, n.symbol, n.file, n.branches, n.escapes FROM {r} r JOIN {n} n ON n.symbol = r.v), "
     "outs AS (SELECT \"from\" AS v, sum(calls) AS calls FROM {e} GROUP BY 1), "
     "mass AS (SELECT r.ep, sum(o.calls) AS mass FROM {r} r JOIN outs o ON o.v = r.v GROUP BY r.ep), "
-    "metrics AS (SELECT c.ep, round(sum(" + _log("c.branches") + "), 6) AS branching_log2, CAST(coalesce(max(m.mass), 0) AS BIGINT) AS mass, count(*) AS reach, "
+    "metrics AS (SELECT c.ep, max(CASE WHEN c.symbol = c.ep THEN c.file END) AS file, round(sum(" + _log("c.branches") + "), 6) AS branching_log2, CAST(coalesce(max(m.mass), 0) AS BIGINT) AS mass, count(*) AS reach, "
     "count(DISTINCT c.file) AS files, max(CASE WHEN c.symbol = c.ep THEN c.branches END) AS own_branches, "
-    "coalesce(first(c.symbol ORDER BY c.branches DESC, c.file, c.symbol) FILTER (c.branches >= 1), c.ep) AS max_cone_node, count(*) FILTER (c.escapes) AS escapes_in_cone "
+    "coalesce(first(c.symbol ORDER BY c.branches DESC, c.file, c.symbol) FILTER (c.branches >= 1), c.ep) AS max_cone_node, round(max(CASE WHEN c.branches >= 1 THEN log2(CAST(c.branches AS DOUBLE)) ELSE 0.0 END), 6) AS max_cone_node_log2, count(*) FILTER (c.escapes) AS escapes_in_cone "
     "FROM cone c LEFT JOIN mass m ON m.ep = c.ep GROUP BY c.ep)"
 )
 
@@ -78,72 +84,104 @@ def _metrics(r: str, n: str, e: str) -> str:
 # ---------------------------------------------------------------- shared frames
 
 
-def _pc(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return view(spark, sf_dir, "pc_nodes"), cut(graph.adjacency(view(spark, sf_dir, "pc_edges")))
+class Graph:
+    """A view's nodes and edges, with what the graph queries share, each made once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, nodes: str, edges: str):
+        self.nodes, self.pairs = view(spark, sf_dir, nodes), cut(graph.adjacency(view(spark, sf_dir, edges)))
+
+    @cached_property
+    def comps(self) -> DataFrame:
+        return graph.components(graph.everything(self.nodes, self.pairs), self.pairs)
+
+    @cached_property
+    def condensed(self) -> DataFrame:
+        return graph.condense(self.pairs, self.comps)
+
+    @cached_property
+    def reached(self) -> DataFrame:
+        return graph.comp_reach(self.nodes, self.comps, self.condensed)
+
+    @cached_property
+    def folds(self) -> DataFrame:
+        return cut(graph.variety(graph.component_terms(self.nodes, self.comps), self.condensed))
+
+    def metrics(self) -> DataFrame:
+        return graph.ep_metrics(self.nodes, self.pairs, self.comps, self.reached)
+
+    def dividends(self) -> DataFrame:
+        return graph.dividends(self.nodes.where("entrypoint"), self.comps, self.folds)
+
+    def blast(self) -> DataFrame:
+        return graph.blast(self.nodes, self.comps, self.reached)
 
 
-def _hull_reach(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Reach of the entrypoints by doubling: for deep graphs of few reachable pairs."""
-    eps = nodes.where("entrypoint").select("symbol")
-    hull = graph.longest(pairs.where("a <> b"), acyclic=False)
-    far = hull.join(eps, hull.a == eps.symbol, "left_semi").select(F.col("a").alias("ep"), F.col("b").alias("v"))
-    return cut(eps.select(F.col("symbol").alias("ep"), F.col("symbol").alias("v")).union(far).distinct())
+def _pc(spark: SparkSession, sf_dir: str) -> Graph:
+    return Graph(spark, sf_dir, "pc_nodes", "pc_edges")
 
 
-def _condensed(nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    comps = graph.components(nodes, pairs)
-    return comps, graph.condense(pairs, comps)
+def _pl(spark: SparkSession, sf_dir: str) -> Graph:
+    return Graph(spark, sf_dir, "pl_nodes", "pl_edges")
 
 
 # ---------------------------------------------------------------- graph
 
 
-@query(f"WITH RECURSIVE {ctes('cg_nodes', 'cg_edges')}, {_reach('cg_nodes', 'cg_edges')}, {_metrics('reached', 'cg_nodes', 'cg_edges')} SELECT * FROM metrics")
-def gra_11_ep_metrics(spark, sf_dir):
-    nodes, pairs = view(spark, sf_dir, "cg_nodes"), graph.adjacency(view(spark, sf_dir, "cg_edges"))
-    reached = graph.reach(pairs, nodes.where("entrypoint"))
-    return graph.ep_metrics(nodes, pairs, reached)
+_CG = f"WITH RECURSIVE {ctes('cg_nodes', 'cg_edges')}, {_reach('cg_nodes', 'cg_edges')}, {_metrics('reached', 'cg_nodes', 'cg_edges')} "
 
 
-@query(f"WITH RECURSIVE {ctes('cg_nodes', 'cg_edges')}, {_reach('cg_nodes', 'cg_edges')}, {_metrics('reached', 'cg_nodes', 'cg_edges')} "
-       "SELECT row_number() OVER (ORDER BY branching_log2 DESC, ep) AS nth, ep, branching_log2, mass, reach, files FROM metrics QUALIFY nth <= 20")
+def _cg_metrics(spark, sf_dir):
+    return Graph(spark, sf_dir, "cg_nodes", "cg_edges").metrics().drop("kind")
+
+
+@query(_CG + "SELECT * FROM metrics")
+def _cg_metrics(spark, sf_dir):
+    return _cg_metrics(spark, sf_dir)
+
+
+@query(_CG + "SELECT row_number() OVER (ORDER BY branching_log2 DESC, ep) AS nth, ep, branching_log2, mass, reach, files FROM metrics QUALIFY nth <= 20")
 def ord_02_leaderboard(spark, sf_dir):
-    top = report.ranked(gra_11_ep_metrics(spark, sf_dir), "branching_log2", "ep", 20)
-    rows = [(i + 1, r.ep, r.branching_log2, r.mass, r.reach, r.files) for i, r in enumerate(top.collect())]  # a top-20 report
-    return spark.createDataFrame(rows, "nth long, ep string, branching_log2 double, mass long, reach long, files long")
+    top = report.ranked(_cg_metrics(spark, sf_dir), "branching_log2", "ep", 20)
+    nth = F.row_number().over(Window.orderBy(F.desc("branching_log2"), "ep"))  # over the 20 rows of the report
+    return top.select(nth.cast("long").alias("nth"), "ep", "branching_log2", "mass", "reach", "files")
 
 
 @query(f"WITH RECURSIVE {_PC}, {_SCC} SELECT symbol, comp FROM comps")
 def gra_03_components(spark, sf_dir):
-    return graph.components(*_pc(spark, sf_dir))
+    return _pc(spark, sf_dir).comps
 
 
-@query(f"WITH RECURSIVE {_PC}, {_SCC} SELECT a, b FROM cond")
+@query(f"WITH {_PL}, {_LAYERS} SELECT a, b FROM cond")
 def gra_04_condensation(spark, sf_dir):
-    return _condensed(*_pc(spark, sf_dir))[1]
+    return _pl(spark, sf_dir).condensed
 
 
-@query(f"WITH RECURSIVE {_PC}, {_SCC}, hops(comp, k) AS (SELECT DISTINCT comp, 0 FROM comps UNION SELECT c.a, hops.k + 1 FROM hops JOIN cond c ON c.b = hops.comp) "
+@query(f"WITH RECURSIVE {_PL}, {_LAYERS}, hops(comp, k) AS (SELECT DISTINCT comp, 0 FROM comps UNION SELECT c.a, hops.k + 1 FROM hops JOIN cond c ON c.b = hops.comp) "
        "SELECT symbol, CAST(greatest(max(k), 1) AS BIGINT) AS depth FROM comps JOIN hops USING (comp) GROUP BY symbol")
 def gra_06_depth(spark, sf_dir):
-    return graph.depth(*_condensed(*_pc(spark, sf_dir)))
+    g = _pl(spark, sf_dir)
+    return graph.depth(g.comps, g.condensed)
 
 
-@query(f"WITH RECURSIVE {_PC}, {_reach('pc_nodes', 'pc_edges')} SELECT DISTINCT ep, v FROM reached")
+@query(f"WITH RECURSIVE {ctes('cg_nodes', 'cg_edges')}, {_reach('cg_nodes', 'cg_edges')} SELECT DISTINCT ep, v FROM reached")
 def gra_07_reach(spark, sf_dir):
-    return _hull_reach(*_pc(spark, sf_dir))
+    g = Graph(spark, sf_dir, "cg_nodes", "cg_edges")
+    return graph.reach(g.pairs, g.nodes.where("entrypoint"))
 
 
 @query(f"WITH RECURSIVE {_PC}, {_reach('pc_nodes', 'pc_edges')} SELECT n.symbol, count(r.ep) AS blast FROM pc_nodes n LEFT JOIN reached r ON r.v = n.symbol GROUP BY n.symbol")
 def gra_10_blast(spark, sf_dir):
-    nodes, pairs = _pc(spark, sf_dir)
-    return graph.blast(nodes, _hull_reach(nodes, pairs))
+    return _pc(spark, sf_dir).blast()
+
+
+@query(f"WITH RECURSIVE {_PL}, {_reach('pl_nodes', 'pl_edges')} SELECT n.symbol, count(r.ep) AS blast FROM pl_nodes n LEFT JOIN reached r ON r.v = n.symbol GROUP BY n.symbol")
+def gra_10_blast_layers(spark, sf_dir):
+    return _pl(spark, sf_dir).blast()
 
 
 @query(f"WITH RECURSIVE {ctes('pc_nodes', 'pc_edges', 'pc_ext_edges')}, {_reach('pc_nodes', 'pc_ext_edges')}, {_metrics('reached', 'pc_nodes', 'pc_ext_edges')} SELECT * FROM metrics")
 def gra_08_cones_with_externals(spark, sf_dir):
-    nodes, pairs = view(spark, sf_dir, "pc_nodes"), cut(graph.adjacency(view(spark, sf_dir, "pc_ext_edges")))
-    return graph.ep_metrics(nodes, pairs, _hull_reach(nodes, pairs))
+    return Graph(spark, sf_dir, "pc_nodes", "pc_ext_edges").metrics().drop("kind")
 
 
 @query(f"WITH {ctes('pc_nodes', 'pc_edges', 'pc_ext_edges')} SELECT DISTINCT s AS symbol FROM (SELECT \"from\" AS s FROM pc_ext_edges UNION SELECT \"to\" FROM pc_ext_edges) WHERE s NOT IN (SELECT symbol FROM pc_nodes)")
@@ -151,36 +189,27 @@ def fil_12_externals(spark, sf_dir):
     return graph.externals(view(spark, sf_dir, "pc_nodes"), view(spark, sf_dir, "pc_ext_edges"))
 
 
-@query(f"WITH RECURSIVE {_PC}, {_reach('pc_nodes', 'pc_edges')}, lost AS (SELECT n.symbol, n.file, n.symbol NOT IN (SELECT v FROM reached) AS lost FROM pc_nodes n) "
+@query(f"WITH RECURSIVE {_PL}, {_reach('pl_nodes', 'pl_edges')}, lost AS (SELECT n.symbol, n.file, n.symbol NOT IN (SELECT v FROM reached) AS lost FROM pl_nodes n) "
        "SELECT count(*) FILTER (lost) AS nodes, round(count(*) FILTER (lost) / count(*), 6) AS share, (SELECT count(*) FROM (SELECT file FROM lost GROUP BY file HAVING bool_and(lost))) AS files FROM lost")
 def gra_21_unreachable(spark, sf_dir):
-    nodes, pairs = _pc(spark, sf_dir)
-    return graph.unreachable(nodes, _hull_reach(nodes, pairs))
+    g = _pl(spark, sf_dir)
+    return graph.unreachable(g.nodes, graph.spread(g.pairs, g.nodes.where("entrypoint")))
 
 
-@query(f"WITH RECURSIVE {_PC}, {_SCC}, {_TERMS} SELECT symbol, round(vty, 6) AS vty, round(floor, 6) AS floor, taint FROM comps JOIN folds USING (comp)")
+@query(f"WITH RECURSIVE {_PL}, {_LAYERS}, {_TERMS} SELECT symbol, round(vty, 6) AS vty, round(floor, 6) AS floor, taint FROM comps JOIN folds USING (comp)")
 def gra_14_variety(spark, sf_dir):
-    nodes, pairs = _pc(spark, sf_dir)
-    comps, cond = _condensed(nodes, pairs)
-    folds = graph.variety(graph.component_terms(nodes, comps), cond)
-    return comps.join(folds, "comp").select("symbol", round6(F.col("vty")).alias("vty"), round6(F.col("floor")).alias("floor"), "taint")
-
-
-def _dividends(spark, sf_dir):
-    nodes, pairs = _pc(spark, sf_dir)
-    comps, cond = _condensed(nodes, pairs)
-    folds = graph.variety(graph.component_terms(nodes, comps), cond)
-    return graph.dividends(nodes.where("entrypoint"), comps, folds)
+    g = _pl(spark, sf_dir)
+    return g.comps.join(g.folds, "comp").select("symbol", round6(F.col("vty")).alias("vty"), round6(F.col("floor")).alias("floor"), "taint")
 
 
-@query(f"WITH RECURSIVE {_PC}, {_SCC}, {_TERMS} {_DIV}")
+@query(f"WITH RECURSIVE {_PL}, {_LAYERS}, {_TERMS} {_DIV}")
 def gra_18_dividend(spark, sf_dir):
-    return _dividends(spark, sf_dir)
+    return _pl(spark, sf_dir).dividends()
 
 
 @query(f"WITH {_PC}, e AS (SELECT \"from\" AS a, \"to\" AS b FROM pc_edges) SELECT symbol FROM pc_nodes WHERE entrypoint AND symbol NOT IN (SELECT b FROM e)")
 def gra_28_zero_predecessors(spark, sf_dir):
-    nodes, pairs = _pc(spark, sf_dir)
+    nodes, pairs = view(spark, sf_dir, "pc_nodes"), graph.adjacency(view(spark, sf_dir, "pc_edges"))
     return nodes.where("entrypoint").join(pairs, F.col("symbol") == F.col("b"), "left_anti").select("symbol")
 
 
@@ -193,7 +222,7 @@ def gra_24_collapse(spark, sf_dir):
 @query(f"WITH {_PC}, callers AS (SELECT e.\"to\" AS symbol, sum(n.branches) AS total FROM (SELECT DISTINCT \"from\", \"to\" FROM pc_edges WHERE \"from\" <> \"to\") e JOIN pc_nodes n ON n.symbol = e.\"from\" GROUP BY 1) "
        "SELECT n.symbol, round(log2(CAST(c.total AS DOUBLE)) - log2(CAST(n.branches AS DOUBLE)), 6) AS absorb FROM pc_nodes n JOIN callers c USING (symbol) WHERE n.branches >= 1")
 def gra_26_absorb(spark, sf_dir):
-    nodes, pairs = _pc(spark, sf_dir)
+    nodes, pairs = view(spark, sf_dir, "pc_nodes"), graph.adjacency(view(spark, sf_dir, "pc_edges"))
     callers = pairs.where("a <> b").join(nodes.select(F.col("symbol").alias("a"), "branches"), "a").groupBy(F.col("b").alias("symbol")).agg(F.sum("branches").alias("total"))
     gain = F.log2(F.col("total").cast("double")) - F.log2(F.col("branches").cast("double"))
     return nodes.where("branches >= 1").join(callers, "symbol").select("symbol", round6(gain).alias("absorb"))
@@ -213,12 +242,8 @@ def _sides(spark, sf_dir):
     return view(spark, sf_dir, "base_nodes"), view(spark, sf_dir, "head_nodes")
 
 
-def _reaches(spark, sf_dir):
-    out = []
-    for nodes, edges in (("base_nodes", "base_edges"), ("head_nodes", "pc_edges")):
-        n, pairs = view(spark, sf_dir, nodes), cut(graph.adjacency(view(spark, sf_dir, edges)))
-        out.append((n, pairs, _hull_reach(n, pairs)))
-    return out
+def _graphs(spark, sf_dir):
+    return Graph(spark, sf_dir, "base_nodes", "base_edges"), Graph(spark, sf_dir, "head_nodes", "pc_edges")
 
 
 _SIDES = f"{_DELTA}, {ctes('base_edges', 'pc_edges')}, {_reach('base_nodes', 'base_edges', 'base_reach')}, {_reach('head_nodes', 'pc_edges', 'head_reach')}"
@@ -247,7 +272,7 @@ def _side_metrics(p: str, nodes: str, edges: str) -> str:
        + ", ".join(f"round(CAST(coalesce(h.{m}, 0) - coalesce(b.{m}, 0) AS DOUBLE), 6) AS delta_{m}" for m in ("branching_log2", "reach", "files"))
        + " FROM base_m b FULL JOIN head_m h ON b.ep = h.ep")
 def dif_05_ep_delta(spark, sf_dir):
-    base, head = (graph.ep_metrics(*x) for x in _reaches(spark, sf_dir))
+    base, head = (g.metrics() for g in _graphs(spark, sf_dir))
     return delta.ep_delta(base, head, ["branching_log2", "reach", "files"])
 
 
@@ -255,8 +280,9 @@ def dif_05_ep_delta(spark, sf_dir):
        "UNION ALL SELECT d.file, d.symbol, r.ep FROM delta d JOIN head_reach r ON r.v = d.symbol WHERE classification <> 'REMOVED') "
        "SELECT count(DISTINCT ep) AS surface_union, count(*) AS surface_sum, (SELECT count(*) FROM delta WHERE (file, symbol) NOT IN (SELECT (file, symbol) FROM hits)) AS unreachable_touched FROM hits")
 def dif_08_review_surface(spark, sf_dir):
-    (base, _, base_reach), (head, _, head_reach) = _reaches(spark, sf_dir)
-    return delta.review_surface(cut(delta.node_delta(base, head)), base_reach, head_reach)
+    base, head = _graphs(spark, sf_dir)
+    sides = (delta.Side(g.nodes, g.pairs, cut(g.blast())) for g in (base, head))
+    return delta.review_surface(cut(delta.node_delta(base.nodes, head.nodes)), *sides)
 
 
 # ---------------------------------------------------------------- rules
@@ -267,20 +293,19 @@ def rul_01_exponential_node(spark, sf_dir):
     return rules.exponential_node(view(spark, sf_dir, "pc_nodes"))
 
 
-@query(f"WITH RECURSIVE {ctes('cg_nodes', 'cg_edges')}, {_reach('cg_nodes', 'cg_edges')}, {_metrics('reached', 'cg_nodes', 'cg_edges')} "
-       "SELECT ep, concat_ws(',', CASE WHEN branching_log2 > 150 THEN 'branching_log2' END, CASE WHEN mass > 60 THEN 'mass' END, CASE WHEN reach > 60 THEN 'reach' END) AS breached FROM metrics WHERE branching_log2 > 150 OR mass > 60 OR reach > 60")
+@query(_CG + "SELECT ep, concat_ws(',', CASE WHEN branching_log2 > 150 THEN 'branching_log2' END, CASE WHEN mass > 60 THEN 'mass' END, CASE WHEN reach > 60 THEN 'reach' END) AS breached FROM metrics WHERE branching_log2 > 150 OR mass > 60 OR reach > 60")
 def rul_03_use_case_complexity(spark, sf_dir):
-    return rules.use_case_complexity(gra_11_ep_metrics(spark, sf_dir), {"branching_log2": 150, "mass": 60, "reach": 60})
+    return rules.use_case_complexity(_cg_metrics(spark, sf_dir), {"branching_log2": 150, "mass": 60, "reach": 60})
 
 
-@query(f"WITH RECURSIVE {_PC}, {_SCC}, {_TERMS}, d AS ({_DIV}) SELECT ep, dividend FROM d WHERE dividend >= 32")
+@query(f"WITH RECURSIVE {_PL}, {_LAYERS}, {_TERMS}, d AS ({_DIV}) SELECT ep, dividend FROM d WHERE dividend >= 32")
 def rul_04_use_case_dividend(spark, sf_dir):
-    return rules.use_case_dividend(_dividends(spark, sf_dir))
+    return rules.use_case_dividend(_pl(spark, sf_dir).dividends())
 
 
-@query(f"WITH RECURSIVE {ctes('cg_nodes', 'cg_edges')}, {_reach('cg_nodes', 'cg_edges')}, {_metrics('reached', 'cg_nodes', 'cg_edges')} SELECT ep, escapes_in_cone FROM metrics WHERE escapes_in_cone > 0")
+@query(_CG + "SELECT ep, escapes_in_cone FROM metrics WHERE escapes_in_cone > 0")
 def rul_05_firewall_breaches(spark, sf_dir):
-    return rules.firewall_breaches(gra_11_ep_metrics(spark, sf_dir))
+    return rules.firewall_breaches(_cg_metrics(spark, sf_dir))
 
 
 @query(f"WITH {_DELTA} SELECT file, symbol, delta_log2 FROM delta WHERE classification = 'GROWN' AND delta_log2 >= 1.0")

@@ -25,19 +25,29 @@ VIEWS = {
           p_partkey % 10 = 0 AS entrypoint, 'function' AS kind FROM {{part}}""",
     "pc_edges": """
         SELECT 'P' || CAST(a AS STRING) AS "from", 'P' || CAST(b AS STRING) AS "to", count(*) AS calls FROM (
-          SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b, l_quantity AS q FROM {lineitem}
-        ) x WHERE q >= 49 AND b IS NOT NULL GROUP BY a, b""",
+          SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM {lineitem}
+        ) x WHERE b IS NOT NULL GROUP BY a, b""",
     "pc_ext_edges": """
         SELECT "from", "to", calls FROM pc_edges
-        UNION ALL SELECT 'P' || CAST(l_partkey AS STRING), '<external:s' || CAST(l_suppkey % 7 AS STRING) || '>', count(*) FROM {lineitem}
-          WHERE l_quantity >= 49 GROUP BY l_partkey, l_suppkey % 7""",
+        UNION ALL SELECT 'P' || CAST(l_partkey AS STRING), '<external:s' || CAST(l_suppkey % 7 AS STRING) || '>', count(*) FROM {lineitem} GROUP BY l_partkey, l_suppkey % 7""",
+    "pl_nodes": f"""
+        SELECT 'P' || CAST(p_partkey AS STRING) || '#' || CAST(l_linenumber AS STRING) AS symbol, p_brand AS file, CAST(p_size AS BIGINT) AS branches,
+          CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE {_ARITY} END AS outcome_arity, p_partkey % 17 = 0 AS escapes,
+          p_partkey % 10 = 0 AND l_linenumber = 1 AS entrypoint, CASE WHEN p_partkey % 10 = 0 AND l_linenumber = 1 THEN 'endpoint' ELSE 'function' END AS kind,
+          CASE WHEN p_partkey % 10 = 0 AND l_linenumber = 1 THEN CASE WHEN p_partkey % 20 = 0 THEN 'routed' ELSE 'jobs' END END AS entrypoint_kind
+        FROM (SELECT DISTINCT l_partkey, l_linenumber FROM {{lineitem}}) l JOIN {{part}} ON p_partkey = l_partkey""",
+    "pl_edges": """
+        SELECT a AS "from", b AS "to", count(*) AS calls FROM (
+          SELECT 'P' || CAST(l_partkey AS STRING) || '#' || CAST(l_linenumber AS STRING) AS a,
+            lead('P' || CAST(l_partkey AS STRING) || '#' || CAST(l_linenumber AS STRING)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM {lineitem}
+        ) x WHERE b IS NOT NULL GROUP BY a, b""",
     "base_nodes": f"""
         SELECT {_PART} AS symbol, p_brand AS file, CAST(p_size AS BIGINT) AS branches, {_ARITY} AS outcome_arity, p_partkey % 17 = 0 AS escapes,
           p_partkey % 10 = 0 AS entrypoint, 'function' AS kind FROM {{part}} WHERE p_partkey % 50 NOT IN (0, 7)""",
     "base_edges": """
         SELECT 'P' || CAST(a AS STRING) AS "from", 'P' || CAST(b AS STRING) AS "to", count(*) AS calls FROM (
-          SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b, l_quantity AS q, l_shipdate AS d FROM {lineitem}
-        ) x WHERE q >= 49 AND b IS NOT NULL AND d < TIMESTAMP '2000-01-01' GROUP BY a, b""",
+          SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b, l_shipdate AS d FROM {lineitem}
+        ) x WHERE b IS NOT NULL AND d < TIMESTAMP '2000-01-01' GROUP BY a, b""",
     "head_nodes": f"""
         SELECT {_PART} AS symbol, p_brand AS file, CAST(CASE WHEN p_partkey % 11 = 0 THEN p_size * 2
             WHEN p_partkey % 19 = 0 THEN greatest(1, CAST(floor(p_size / 2) AS INT)) ELSE p_size END AS BIGINT) AS branches,
