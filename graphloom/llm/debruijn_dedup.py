@@ -72,24 +72,41 @@ def _pieces_of(s: Segments) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([sid, *(pa.array(v.astype(np.int64)) for v in cols)], names=["sid", "nth", "edges", "head", "tail", "total"])
 
 
-def _hot_pieces(parts: DataFrame) -> DataFrame:
-    """Repeated edges of hot anchors, each a piece by itself: counted by their hashes and joined back to the segments."""
+def _hot_pieces(parts: DataFrame, most: int = 1 << 17) -> DataFrame:
+    """Repeated edges of hot anchors, each a piece by itself: counted by their hashes, equal ones of a task in one row."""
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                n, count = np.asarray(part.column("n")).astype(np.int64), np.asarray(part.column("count"))
-                edge = np.frombuffer(b"".join(part.column("body").to_pylist()), np.int64)
-                seg = np.repeat(np.arange(len(n)), n)
-                nth = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
-                sid = part.column("sid").take(pa.array(seg))
-                yield pa.RecordBatch.from_arrays([sid, *(pa.array(c) for c in (nth, edge, count[seg]))], names=["sid", "nth", "head", "count"])
-
-    edges = parts.select("n", "count", "body", "sid").mapInArrow(run, "sid binary, nth long, head long, count long")
+                held.append(part)
+                size += int(np.asarray(part.column("n")).sum())
+                if size >= most:
+                    yield gathered(pa.Table.from_batches(held))
+                    held, size = [], 0
+        if held:
+            yield gathered(pa.Table.from_batches(held))
+
+    def gathered(part: pa.Table) -> pa.RecordBatch:
+        n, count = (part.column(k).to_numpy().astype(np.int64) for k in ("n", "count"))
+        edge = np.frombuffer(b"".join(part.column("body").to_pylist()), np.int64)
+        seg = np.repeat(np.arange(len(n)), n)
+        nth = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
+        head, of = np.unique(edge, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        sid = part.column("sid").combine_chunks().take(pa.array(seg[order]))
+        at = pa.StructArray.from_arrays([sid, pa.array(nth[order])], names=["sid", "nth"])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(head)))]).astype(np.int32)
+        met = np.bincount(of, count[seg], len(head)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(head), pa.array(met), pa.ListArray.from_arrays(pa.array(ends), at)], names=["head", "count", "places"])
+
+    kinds = "head long, count long, places array<struct<sid:binary,nth:long>>"
+    edges = cut(parts.select("n", "count", "body", "sid").mapInArrow(run, kinds))
     again = edges.groupBy("head").agg(F.sum("count").alias("met")).where("met > 1").select("head")
     total = F.col("head").bitwiseAND(F.lit(0xFFFFFFFF))
-    return edges.join(again, "head").select("sid", "nth", F.lit(1).cast("long").alias("edges"), "head", F.col("head").alias("tail"), total.alias("total")).distinct()
+    found = edges.join(again, "head").select("head", F.explode("places").alias("at"))
+    return found.select("at.sid", "at.nth", F.lit(1).cast("long").alias("edges"), "head", F.col("head").alias("tail"), total.alias("total")).distinct()
 
 
 def occurrences(parts: DataFrame, hot: int = HOT) -> DataFrame:
@@ -143,7 +160,7 @@ def glue(found: DataFrame, max_rounds: int = 60) -> DataFrame:
 def finder(hot: int = HOT):
     def find(parts: DataFrame, _: DataFrame) -> DataFrame:
         found = occurrences(parts, hot)
-        spans = found.select("d", "x", "start", "head").join(glue(found).drop("times"), "head")
+        spans = found.select("d", "x", "start", "head").join(cut(glue(found).drop("times")), "head")  # a hot path is split by the skew join
         source = (F.col("at.d") == F.col("d")) & (F.col("at.x") == F.col("x")) & (F.col("at.start") == F.col("start"))
         notes = F.collect_list(F.struct("start", "edges", "head", "tail", "total", source.alias("source"))).alias("notes")
         return spans.groupBy("d", "x").agg(notes).withColumn("hs", F.lit(None).cast("array<long>"))
