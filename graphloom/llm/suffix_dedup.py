@@ -108,22 +108,42 @@ def _kept(data: bytes, marks: np.ndarray | None) -> tuple[bytes, list[tuple[int,
     return np.frombuffer(data, np.uint8)[~marks].tobytes(), _spans(marks)
 
 
-def _first_windows(parts: DataFrame, length: int) -> DataFrame:
-    """d, x, a, b: the earliest place of every window of ``parts``, by the window's hash and its anchor."""
+def _first_windows(parts: DataFrame, length: int, most: int = 1 << 18) -> DataFrame:
+    """d, x, a, b: the earliest place of every window of ``parts``, by the window's hash and its anchor; first inside each task."""
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                h, off, n, d, x, lo = (np.asarray(part.column(k)).astype(np.int64) for k in ("h", "off", "n", "d", "x", "lo"))
-                e = [of_bytes(body).windows(length) for body in part.column("body").to_pylist()]
-                seg = np.repeat(np.arange(len(n)), n)
-                nth = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
-                cols = (h[seg], off[seg] - nth, np.concatenate(e).view(np.int64), d[seg], x[seg], lo[seg] + nth)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "g", "e", "d", "x", "a"])
-
-    windows = parts.drop("sid").mapInArrow(run, "h long, g long, e long, d long, x long, a long")
-    first = windows.groupBy("h", "g", "e").agg(F.min(F.struct("d", "x", "a")).alias("at"))
+                cols = windows(batch.slice(i, 256))
+                held.append(cols)
+                size += len(cols[0])
+                if size >= most:
+                    held = [earliest(held)]
+                    size = len(held[0][0])
+                    if 2 * size >= most:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=names)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in earliest(held)], names=names)
+
+    def windows(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        h, off, n, d, x, lo = (np.asarray(part.column(k)).astype(np.int64) for k in ("h", "off", "n", "d", "x", "lo"))
+        e = [of_bytes(body).windows(length) for body in part.column("body").to_pylist()]
+        seg = np.repeat(np.arange(len(n)), n)
+        nth = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
+        return h[seg], off[seg] - nth, np.concatenate(e).view(np.int64), d[seg], x[seg], lo[seg] + nth
+
+    def earliest(held: list) -> list[np.ndarray]:
+        cols = [np.concatenate(c) for c in zip(*held)]
+        order = np.lexsort(cols[::-1])
+        key = [c[order] for c in cols[:3]]
+        first = np.concatenate([[True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])])
+        return [c[order[first]] for c in cols]
+
+    names = ["h", "g", "e", "d", "x", "a"]
+    found = parts.drop("sid").mapInArrow(run, "h long, g long, e long, d long, x long, a long")
+    first = found.groupBy("h", "g", "e").agg(F.min(F.struct("d", "x", "a")).alias("at"))
     return first.select("at.d", "at.x", "at.a", (F.col("at.a") + 1).alias("b"))
 
 
