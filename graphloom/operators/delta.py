@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import changed, log2_branches, round6
-from .graph import spread, vertices
+from ..functions.scalars import changed, log2_branches, milli, round6
+from .graph import adjacency, spread, vertices
 
 
 def node_delta(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -71,3 +71,81 @@ def review_surface(delta: DataFrame, base: Side, head: Side) -> DataFrame:
         eps = found if eps is None else eps.unionByName(found)
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("surface_sum"), F.count_if(F.col("n") == 0).alias("unreachable_touched"))
     return eps.agg(F.countDistinct("symbol").alias("surface_union")).crossJoin(sums)  # one row each
+
+
+def moves(delta: DataFrame, base: DataFrame, head: DataFrame) -> DataFrame:
+    """symbol, from_file, to_file: removed and new nodes of one symbol with equal branches; the first pair by files. An annotation only."""
+    gone = delta.where("classification = 'REMOVED'").select("file", "symbol").join(base.select("file", "symbol", "branches"), ["file", "symbol"])
+    come = delta.where("classification = 'NEW'").select("file", "symbol").join(head.select("file", "symbol", "branches"), ["file", "symbol"])
+    pairs = gone.withColumnRenamed("file", "from_file").join(come.select("symbol", F.col("file").alias("to_file"), F.col("branches").alias("now")), "symbol")
+    first = F.min(F.struct("from_file", "to_file")).alias("p")
+    return pairs.where(F.col("branches").eqNullSafe(F.col("now"))).groupBy("symbol").agg(first).select("symbol", "p.from_file", "p.to_file")
+
+
+def ep_entries(rows: DataFrame) -> DataFrame:
+    """Only new, removed and moved entrypoints."""
+    return rows.where("status <> 'same'")
+
+
+def coupling_flips(base: DataFrame, head: DataFrame, base_edges: DataFrame, head_edges: DataFrame, delta: DataFrame) -> DataFrame:
+    """file, symbol of nodes on both sides that are otherwise unchanged but call differently. Edges meet pair by pair, not as lists."""
+    x, y = (adjacency(e) for e in (base_edges, head_edges))
+    differs = x.withColumnRenamed("calls", "was").join(y, ["a", "b"], "full").where(changed(F.col("was"), F.col("calls"))).select(F.col("a").alias("symbol")).distinct()
+    both = base.select("file", "symbol").join(head.select("file", "symbol"), ["file", "symbol"]).join(differs, "symbol", "left_semi")
+    return both.join(delta, ["file", "symbol"], "left_anti").select("file", "symbol")
+
+
+def contributors(delta: DataFrame, eps: DataFrame, comps: DataFrame, reached: DataFrame, top: int = 5) -> DataFrame:
+    """ep, nth, symbol, delta_log2, omitted: the changed nodes of each cone by size of the change, file and symbol, and how many more there are.
+
+    Each component brings its ``top`` changed nodes and their number, so that no cone is listed in full.
+    """
+    order = (F.desc(F.abs(F.coalesce("delta_log2", F.lit(0.0)))), F.asc("file"), F.asc("symbol"))
+    rows = delta.join(comps, "symbol")
+    best = rows.withColumn("k", F.row_number().over(Window.partitionBy("comp").orderBy(*order))).where(F.col("k") <= top)
+    sums = reached.join(rows.groupBy("comp").agg(F.count("*").alias("n")), "comp").groupBy("source").agg(F.sum("n").alias("n"))
+    nth = reached.join(best.select("comp", "file", "symbol", "delta_log2"), "comp").withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy(*order)))
+    kept = nth.where(F.col("nth") <= top).join(sums, "source")
+    names = eps.select(F.col("symbol").alias("ep"), "symbol").join(comps, "symbol").select("ep", F.col("comp").alias("source"))
+    return names.join(kept.select("source", F.col("nth").cast("long").alias("nth"), F.col("symbol").alias("node"), "delta_log2", F.greatest(F.col("n") - top, F.lit(0)).cast("long").alias("omitted")), "source").drop("source")
+
+
+def unreached_files(base: DataFrame, head: DataFrame, base_seen: DataFrame, head_seen: DataFrame) -> DataFrame:
+    """Files that no entrypoint reaches a node of, on either side."""
+    met = None
+    for nodes, seen in ((base, base_seen), (head, head_seen)):
+        rows = nodes.select("file", "symbol").join(seen.select("symbol").distinct().withColumn("seen", F.lit(True)), "symbol", "left")
+        rows = rows.select("file", F.coalesce("seen", F.lit(False)).alias("seen"))
+        met = rows if met is None else met.unionByName(rows)
+    return met.groupBy("file").agg(F.bool_or("seen").alias("seen")).where("not seen").select("file")
+
+
+def unmoved_with_changes(rows: DataFrame, head_pairs: DataFrame, delta: DataFrame) -> DataFrame:
+    """Entrypoints on both sides with equal metrics whose cone in the head holds a changed node."""
+    up = spread(head_pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), delta.where("classification <> 'REMOVED'").select("symbol").distinct())
+    return rows.where("status = 'same'").select("ep").join(up.withColumnRenamed("symbol", "ep"), "ep", "left_semi")
+
+
+def score_deltas(base: DataFrame, head: DataFrame, key: str, top: int | None = None) -> DataFrame:
+    """key, base, head, change in thousandths (of the rounded values); the lowest head first, a missing one last."""
+    both = base.select(key, milli(F.col("score")).alias("base")).join(head.select(key, milli(F.col("score")).alias("head")), key, "full")
+    rows = both.withColumn("change", F.col("head") - F.col("base"))
+    return rows if top is None else rows.orderBy(F.asc_nulls_last("head"), key).limit(top)
+
+
+def escape_events(base: DataFrame, head: DataFrame, head_blast: DataFrame) -> DataFrame:
+    """file, symbol, hosts, orphan: nodes that escape since the base (born so, or false before; unknown before is none), and the entrypoints they reach."""
+    was = base.select("file", "symbol", F.col("escapes").alias("was"), F.lit(True).alias("there"))
+    rows = head.where("escapes").join(was, ["file", "symbol"], "left").where("there is null or was = false")
+    hosts = F.coalesce("blast", F.lit(0)).cast("long")
+    return rows.join(head_blast, "symbol", "left").select("file", "symbol", hosts.alias("hosts"), (hosts == 0).alias("orphan"))
+
+
+def drift(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """file, status: same, changed, missing (right only) or extra (left only), by an order-free hash of each file's rows."""
+    def hashed(df: DataFrame, name: str) -> DataFrame:
+        row = F.xxhash64(*columns)
+        return df.groupBy("file").agg(F.struct(F.count("*").alias("n"), F.bit_xor(row).alias("x"), F.bit_xor(F.xxhash64(row)).alias("y")).alias(name))
+
+    status = F.when(F.col("l").isNull(), "missing").when(F.col("r").isNull(), "extra").when(F.col("l") == F.col("r"), "same").otherwise("changed")
+    return hashed(left, "l").join(hashed(right, "r"), "file", "full").select("file", status.alias("status"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LN2, log2_branches, round6
-from ..storage import cut
+from ..storage import cut, cut_counting
 
 CAP = 1_000_000.0
 
@@ -28,16 +28,17 @@ def externals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.join(nodes.select("symbol"), "symbol", "left_anti")
 
 
-def reach(pairs: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """ep, v: everything each source reaches over pairs(a, b), itself included; one frontier for all."""
-    known = cut(sources.select(F.col("symbol").alias("ep"), F.col("symbol").alias("v")).distinct())
-    front = known
-    for _ in range(max_rounds):
+def reach(pairs: DataFrame, sources: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    """ep, v: everything each source reaches over pairs(a, b), itself included; one frontier for all, each written once."""
+    known = front = cut(sources.select(F.col("symbol").alias("ep"), F.col("symbol").alias("v")).distinct())
+    for k in range(1, max_rounds):
         step = front.join(pairs, F.col("v") == F.col("a")).select("ep", F.col("b").alias("v")).distinct()
-        front = cut(step.join(known, ["ep", "v"], "left_anti"))
-        if front.isEmpty():
+        front, n = cut_counting(step.join(known, ["ep", "v"], "left_anti"))
+        if not n:
             return known
-        known = cut(known.unionByName(front))
+        known = known.unionByName(front)
+        if not k % 16:  # many small tables become one
+            known = cut(known)
     raise RuntimeError("the frontier did not empty")
 
 
@@ -48,20 +49,21 @@ def jump(links: DataFrame, sums: tuple[str, ...] = (), ends: tuple[str, ...] = (
     links such rows keep a ``to`` that has a link, and ``least`` is the smallest member of the cycle.
     ``ends`` are bool columns that hold if they hold anywhere on the way.
     """
-    now = cut(links.withColumn("least", F.col("v")))
-    rounds = max(1, now.count()).bit_length() + 1
+    now, n = cut_counting(links.withColumn("least", F.col("v")))
+    rounds = max(1, n).bit_length() + 1 if n else 0
     for _ in range(rounds):
         nxt = now.select(F.col("v").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"), *(F.col(c).alias(f"_{c}") for c in (*sums, *ends)))
         both = now.join(nxt, "to", "left")
-        more = cut(
+        more, moved = cut_counting(
             both.select(
                 "v", F.coalesce("_to", "to").alias("to"), F.least("least", F.coalesce("_least", "least")).alias("least"),
                 *((F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in sums),
                 *((F.col(c) | F.coalesce(F.col(f"_{c}"), F.lit(False))).alias(c) for c in ends), F.col("_to").isNotNull().alias("_moved"),
-            )
+            ),
+            F.col("_moved"),
         )
         now = more.drop("_moved")
-        if more.where("_moved").isEmpty():
+        if not moved:
             break
     return now
 
@@ -69,14 +71,15 @@ def jump(links: DataFrame, sums: tuple[str, ...] = (), ends: tuple[str, ...] = (
 def relax(start: DataFrame, steps: DataFrame, most: bool = True, max_rounds: int = 100_000) -> DataFrame:
     """v, x: the largest (or smallest) x that reaches v from ``start(v, x)`` over ``steps(a, b, w)``, growing by w at each."""
     fold = F.max if most else F.min
-    known = front = cut(start.select("v", "x"))
+    known = cut(start.select("v", "x", F.lit(True).alias("new")))
     for _ in range(max_rounds):
-        told = front.join(steps, F.col("v") == F.col("a")).select(F.col("b").alias("v"), (F.col("x") + F.col("w") if most else F.col("x")).alias("new"))
-        told = told.groupBy("v").agg(fold("new").alias("new")).join(known, "v", "left")
-        front = cut(told.where(F.col("x").isNull() | (F.col("new") > F.col("x") if most else F.col("new") < F.col("x"))).select("v", F.col("new").alias("x")))
-        if front.isEmpty():
-            return known
-        known = cut(known.join(front.select("v"), "v", "left_anti").unionByName(front))
+        front = known.where("new").select(F.col("v").alias("a"), "x")
+        told = front.join(steps, "a").groupBy(F.col("b").alias("v")).agg(fold(F.col("x") + F.col("w") if most else F.col("x")).alias("y"))
+        better = F.col("y").isNotNull() & (F.col("x").isNull() | (F.col("y") > F.col("x") if most else F.col("y") < F.col("x")))
+        both = known.select("v", "x").join(told, "v", "full").select("v", F.when(better, F.col("y")).otherwise(F.col("x")).alias("x"), better.alias("new"))
+        known, n = cut_counting(both, F.col("new"))
+        if not n:
+            return known.select("v", "x")
     raise RuntimeError("the values did not settle")
 
 
@@ -86,24 +89,25 @@ def spread(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     return relax(start, pairs.select("a", "b", F.lit(0).alias("w"))).select(F.col("v").alias("symbol"))
 
 
-def trim(pairs: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """Drop edges that cannot lie on a cycle, until all ends have a way in and a way out."""
-    n = -1
+def trim(pairs: DataFrame, max_rounds: int = 100_000) -> tuple[DataFrame, int]:
+    """Drop edges that cannot lie on a cycle, until all ends have a way in and a way out: what is left, and its number of edges."""
+    before = -1
     for _ in range(max_rounds):
-        ins, outs = pairs.select(F.col("b").alias("k")).distinct(), pairs.select(F.col("a").alias("k")).distinct()
-        pairs = cut(pairs.join(ins, pairs.a == ins.k, "left_semi").join(outs, pairs.b == outs.k, "left_semi"))
-        now = pairs.count()
-        if now in (0, n):
-            return pairs
-        n = now
+        for _ in range(3):  # steps of one job
+            ins, outs = pairs.select(F.col("b").alias("k")).distinct(), pairs.select(F.col("a").alias("k")).distinct()
+            pairs = pairs.join(ins, pairs.a == ins.k, "left_semi").join(outs, pairs.b == outs.k, "left_semi")
+        pairs, n = cut_counting(pairs)
+        if n in (0, before):
+            return pairs, n
+        before = n
     raise RuntimeError("the trimming did not end")
 
 
 def _contracted(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Edges with chains (one way in, one way out) drawn together, and v, start, end, least of the members of chains."""
     ways = pairs.select(F.col("a").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(pairs.select("b", F.lit(0), F.lit(1)))
-    inner = cut(ways.groupBy("v").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o = 1 and i = 1").select("v"))
-    if inner.isEmpty():
+    inner, n = cut_counting(ways.groupBy("v").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o = 1 and i = 1").select("v"))
+    if not n:
         return pairs, None
     a, b = inner.select(F.col("v").alias("a")), inner.select(F.col("v").alias("b"))
     ends = jump(pairs.join(a, "a").select(F.col("a").alias("v"), F.col("b").alias("to"))).withColumnRenamed("to", "end")
@@ -123,8 +127,8 @@ def components(symbols: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -
     edges, members = _contracted(cut(pairs.where("a <> b").select("a", "b").distinct()))
     done = None
     for _ in range(max_rounds):
-        edges = trim(edges)
-        if edges.isEmpty():
+        edges, n = trim(edges)
+        if not n:
             break
         ends = edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct()
         colour = relax(ends.withColumn("x", F.col("v")), edges.withColumn("w", F.lit(0)), most=False)
@@ -279,7 +283,7 @@ def component_terms(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     return cut(t.select("comp", "b", "a", own.alias("own"), "fallback", is_open.alias("open")))
 
 
-def variety(terms: DataFrame, condensed: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def variety(terms: DataFrame, condensed: DataFrame) -> DataFrame:
     """comp, vty, floor, taint: what a component costs inline, at its best, and whether a fallback is in it.
 
     vty is the component's own ln branches plus, for each successor, its whole vty if it is open and
@@ -304,18 +308,14 @@ def variety(terms: DataFrame, condensed: DataFrame, max_rounds: int = 100_000) -
     level = relax(leaf.select("v", F.lit(0).alias("x")), steps.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).alias("w")).distinct())
     ends = cut(ends.join(level, "v").withColumnRenamed("x", "level"))
     known = cut(leaf)
-    for k in range(1, max_rounds):
+    for k in range(1, (ends.agg(F.max("level")).first()[0] or 0) + 1):
         here = ends.where(F.col("level") == k)
-        if here.isEmpty():
-            break
         mine = steps.join(here.select(F.col("v").alias("a")), "a", "left_semi")
         below = mine.join(known, F.col("b") == F.col("v")).groupBy(F.col("a").alias("v")).agg(
             F.sum(F.col("w_vty") + F.col("vty")).alias("s_vty"), F.sum(F.col("w_floor") + F.col("floor")).alias("s_floor"), F.bool_or(F.col("w_taint") | F.col("taint")).alias("s_taint")
         )
         new = here.join(below, "v").select("v", (F.col("vty") + F.col("s_vty")).alias("vty"), (F.col("floor") + F.col("s_floor")).alias("floor"), (F.col("taint") | F.col("s_taint")).alias("taint"))
         known = cut(known.unionByName(new))
-    else:
-        raise RuntimeError("the levels did not end")
     along = way.join(known.withColumnRenamed("v", "end"), "end").select(
         "v", (F.col("w_vty") + F.col("vty")).alias("vty"), (F.col("w_floor") + F.col("floor")).alias("floor"), (F.col("w_taint") | F.col("taint")).alias("taint")
     )

@@ -48,3 +48,9 @@ def percentiles(rows: DataFrame, key: str, value: str) -> DataFrame:
 def top_by_group(rows: DataFrame, key: str, value: str, tie: str, top: int) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc_nulls_last(value), F.asc(tie))
     return rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= top)
+
+
+def numbered(rows: DataFrame, order: list, top: int) -> DataFrame:
+    """The first ``top`` rows in this order, with their number: sorted in parts, numbered over those rows alone."""
+    nth = F.row_number().over(Window.orderBy(*order)).cast("long")
+    return rows.orderBy(*order).limit(top).withColumn("nth", nth)

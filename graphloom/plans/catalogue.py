@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import glob_match, log2_branches, round6
+from ..functions.scalars import log2_branches, round6
 from ..operators import delta, graph, report, rules
 from ..sources.views import ctes, view
 from ..storage import cut
+from .registry import ORACLE_SQL, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 # ---------------------------------------------------------------- oracle fragments
 
@@ -52,7 +41,7 @@ _SCC = (
 _PL = ctes("pl_nodes", "pl_edges")
 _LAYERS = (
     "comps AS (SELECT symbol, symbol AS comp FROM pl_nodes), "
-    'cond AS (SELECT DISTINCT "from" AS a, "to" AS b FROM pl_edges)'
+    'cond AS (SELECT DISTINCT "from" AS a, "to" AS b FROM pl_edges WHERE "from" <> "to")'
 )
 _TERMS = (
     "terms AS (SELECT comp, sum(CASE WHEN branches >= 1 THEN ln(branches) ELSE 0 END) AS b, sum(coalesce(ln(outcome_arity), 0)) AS a, "
@@ -135,7 +124,7 @@ def _cg_metrics(spark, sf_dir):
 
 
 @query(_CG + "SELECT * FROM metrics")
-def _cg_metrics(spark, sf_dir):
+def gra_11_ep_metrics(spark, sf_dir):
     return _cg_metrics(spark, sf_dir)
 
 
@@ -318,7 +307,7 @@ def rul_06_multiplicative_growth(spark, sf_dir):
        "FROM scopes LEFT JOIN delta ON classification <> 'CHANGED_ATTRS' AND file GLOB scope GROUP BY scope, budget)")
 def rul_07_complexity_ratchet(spark, sf_dir):
     scopes = {"Brand#1*": 0.0, "Brand#2?": 200.0, "none": -1.0}
-    return rules.complexity_ratchet(delta.node_delta(*_sides(spark, sf_dir)), scopes, lambda file, scope: glob_match(file, [scope]))
+    return rules.complexity_ratchet(delta.node_delta(*_sides(spark, sf_dir)), scopes)
 
 
 @query(f"WITH {_PC}, t AS (SELECT file, symbol, CAST(round(round({_log('branches')}, 6) * 1000) AS BIGINT) AS now, CAST(substr(symbol, 2) AS BIGINT) AS k FROM pc_nodes), "

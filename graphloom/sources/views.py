@@ -53,6 +53,13 @@ VIEWS = {
             WHEN p_partkey % 19 = 0 THEN greatest(1, CAST(floor(p_size / 2) AS INT)) ELSE p_size END AS BIGINT) AS branches,
           {_ARITY} AS outcome_arity, p_partkey % 17 = 0 OR p_partkey % 23 = 0 AS escapes,
           p_partkey % 10 = 0 AS entrypoint, 'function' AS kind FROM {{part}} WHERE p_partkey % 70 NOT IN (0, 13)""",
+    "moved_nodes": """
+        SELECT symbol, CASE WHEN CAST(substr(symbol, 2) AS BIGINT) % 9 = 0 THEN 'Moved#1' ELSE file END AS file, branches, outcome_arity, escapes, entrypoint, kind FROM head_nodes""",
+    "fx_files": """
+        SELECT l_orderkey AS change, 'svc/' || p_brand || '/' || CAST(p_partkey AS STRING) AS path,
+          CASE WHEN l_linenumber = 3 THEN 'svc/' || p_brand || '/old' || CAST(p_partkey AS STRING) END AS previous_path,
+          CASE l_linenumber WHEN 1 THEN 'added' WHEN 2 THEN 'copied' WHEN 3 THEN 'renamed' ELSE 'modified' END AS status, l_suppkey % 5 <> 0 AS scorable
+        FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""",
     "fx_scores": f"""
         SELECT {_PART} AS symbol, p_partkey, p_brand AS class_id, substr(p_type, 1, 40) AS quadrant, CAST(p_size AS BIGINT) AS branches,
           CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE CAST((p_partkey % 21) - 10 AS DOUBLE) / 2.0 END AS score FROM {{part}}""",

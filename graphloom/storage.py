@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -18,3 +19,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_counting(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+    """``cut``, and how many rows were written (for which ``what`` holds), counted while they are written."""
+    seen = Observation()
+    count = F.count(F.lit(1)) if what is None else F.count_if(what)
+    out = cut(df.observe(seen, count.alias("n")))
+    found = seen.get.get("n")
+    return out, int(found) if found is not None else (out.count() if what is None else out.where(what).count())
