@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _BYTES, of_bytes
-from .repeats import HOT, Segments, Unit, marked, resolve, split, survivors
+from .repeats import Segments, Unit, marked, resolve, split, survivors
 from .suffixes import suffix_array
 
 LENGTH = 100
 GRAM = 24
 BLOCK = 38
+HOT = 20_000  # segments of one anchor that a task may hold, some 4 MB; taking one apart makes up to 77 windows of it
 
 
 def _grams(data: bytes, k: int) -> np.ndarray:
