@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import band, round6
@@ -54,3 +54,36 @@ def numbered(rows: DataFrame, order: list, top: int) -> DataFrame:
     """The first ``top`` rows in this order, with their number: sorted in parts, numbered over those rows alone."""
     nth = F.row_number().over(Window.orderBy(*order)).cast("long")
     return rows.orderBy(*order).limit(top).withColumn("nth", nth)
+
+
+def labelled_edges(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """from_label, to_label, calls: both ends through the names, a placeholder where one is missing."""
+    def end(df: DataFrame, c: str) -> DataFrame:
+        n = names.select(F.col("id").alias(c), F.col("name").alias(f"{c}_label"))
+        return df.join(n, c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", F.concat(F.lit("<unresolved:"), c, F.lit(">"))))
+
+    return end(end(edges, "from"), "to").select("from_label", "to_label", "calls")
+
+
+def resolved_paths(paths: DataFrame, names: DataFrame) -> DataFrame:
+    """path_id, chain: the names of each path's ids in their order."""
+    rows = paths.select("path_id", F.posexplode("ids").alias("pos", "id")).join(names.select("id", "name"), "id", "left")
+    step = F.struct("pos", F.coalesce("name", F.concat(F.lit("<unresolved:"), "id", F.lit(">"))).alias("label"))
+    return rows.groupBy("path_id").agg(F.array_sort(F.collect_list(step)).alias("s")).select("path_id", F.array_join("s.label", " > ").alias("chain"))
+
+
+def worst_members(rows: DataFrame, key: str, value: str, tie: str) -> DataFrame:
+    """key, tie, value of the largest value in each group, the smaller tie first."""
+    best = F.min(F.struct((-F.col(value)).alias("v"), F.col(tie).alias("t")))
+    return rows.where(F.col(value).isNotNull()).groupBy(key).agg(best.alias("m")).select(key, F.col("m.t").alias(tie), (-F.col("m.v")).alias(value))
+
+
+def cohort(rows: DataFrame, value: str, k: int) -> DataFrame:
+    """Rows whose value is at least the k-th largest, ties included."""
+    kth = rows.select(value).where(F.col(value).isNotNull()).orderBy(F.desc(value)).limit(k).agg(F.min(value).alias("_least"))
+    return rows.join(F.broadcast(kth), F.col(value) >= F.col("_least")).drop("_least")  # one row
+
+
+def quadrant_by_sign(quadrant: Column, score: Column) -> Column:
+    """A negative score makes a node underused or load-bearing whatever its quadrant, a positive one a bypass candidate."""
+    return F.when(score < 0, F.when(quadrant == "hot", "load_bearing").otherwise("underused")).when(score > 0, "bypass_candidate").otherwise(quadrant)

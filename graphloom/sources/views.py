@@ -60,6 +60,12 @@ VIEWS = {
           CASE WHEN l_linenumber = 3 THEN 'svc/' || p_brand || '/old' || CAST(p_partkey AS STRING) END AS previous_path,
           CASE l_linenumber WHEN 1 THEN 'added' WHEN 2 THEN 'copied' WHEN 3 THEN 'renamed' ELSE 'modified' END AS status, l_suppkey % 5 <> 0 AS scorable
         FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""",
+    "fx_calls": """
+        SELECT CAST(l_orderkey AS STRING) || ':' || CAST(l_linenumber AS STRING) || ':' || CAST(l_partkey AS STRING) || ':' || CAST(l_suppkey AS STRING) AS site_id, p_brand AS owner,
+          CASE WHEN l_suppkey % 3 = 0 THEN 'P' || CAST(l_partkey AS STRING) ELSE 'm' || CAST(l_partkey % 40 AS STRING) END AS name,
+          CASE WHEN l_suppkey % 4 = 0 THEN 'P' || CAST(l_partkey + 1 AS STRING) END AS constant,
+          CASE l_suppkey % 5 WHEN 0 THEN 'http' WHEN 1 THEN 'queue' WHEN 2 THEN 'gem' END AS verb
+        FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {lineitem}) l JOIN {part} ON p_partkey = l_partkey""",
     "fx_scores": f"""
         SELECT {_PART} AS symbol, p_partkey, p_brand AS class_id, substr(p_type, 1, 40) AS quadrant, CAST(p_size AS BIGINT) AS branches,
           CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE CAST((p_partkey % 21) - 10 AS DOUBLE) / 2.0 END AS score FROM {{part}}""",
