@@ -7,13 +7,15 @@ blocks can still lift it over the cap. Vectors meet at common filters and are ve
 cosine in double precision; a pair counts only at its first common filter, so no pair is
 shuffled: a task returns link counts and a spanning forest.
 
-With the default 2 x 64 directions and cap 2.5 (in standard deviations of a random vector) a vector
-falls into about 25 of 4096 filters, and into 16 at least: for one that exceeds fewer the cap is
-lowered. Two vectors at cosine 0.95 share about half of their filters.
+The code grows with the table (``shape``): there is one filter for every two vectors, and the cap is what a
+random vector exceeds with 28 of them, so a filter holds some 56 vectors and the work grows as the table does. For a
+vector that exceeds fewer than 16 filters the cap is lowered. Two vectors at cosine 0.95 share about half of their filters.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,10 +24,22 @@ from pyspark.sql import functions as F
 from .common import components, cut, local_forest, partitions
 
 COSINE = 0.95
-BLOCKS, WORDS, CAP, LEAST = 2, 64, 2.5, 16
+FILTERS, LEAST = 28, 16  # of each vector: expected, and at least
+WORDS = 256  # most directions of a block
 TILE = 1024
 
 
+def shape(n: int) -> tuple[int, int, float]:
+    """Blocks, directions of each block and cap (in standard deviations of a random vector) for ``n`` vectors."""
+    filters, blocks = max(256, n // 2), 2
+    while filters > WORDS**blocks:
+        blocks += 1
+    words = 2
+    while words**blocks < filters:
+        words += 1
+    return blocks, words, NormalDist().inv_cdf(1 - FILTERS / words**blocks)
+
+
 class Code:
     """Random product code for vectors of one dimension."""
 
@@ -43,6 +57,9 @@ class Code:
 
         A row that exceeds the cap with fewer than ``least`` filters is decoded again with a lower cap.
         """
+        step = max(16, (1 << 16) // max(w.shape[1] for w in self.words))  # partial sums of many words take memory
+        if len(unit) > step:
+            return [f for i in range(0, len(unit), step) for f in self.decode(unit[i : i + step], least)]
         x = unit @ self.turn
         scores = [x[:, p] @ w for p, w in zip(self.parts, self.words)]
         least = min(least, int(np.prod([s.shape[1] for s in scores])))
@@ -167,12 +184,14 @@ def _verify(cosine: float, kind: str):
     return run
 
 
-def near_pairs(reps: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, words: int = WORDS, cap: float = CAP, least: int = LEAST, tile: int = TILE) -> DataFrame:
+def near_pairs(reps: DataFrame, cosine: float = COSINE, blocks: int | None = None, words: int | None = None, cap: float | None = None, least: int = LEAST, tile: int = TILE) -> DataFrame:
     """From rep, size, embedding: rows (a, links, count=true) with partial link counts, and (a, b) forest edges.
 
     A filter met by more than ``tile`` vectors is dealt out in tiles, and every pair of its tiles is
-    compared in a task of its own; the counts by filter are at most words ** blocks rows.
+    compared in a task of its own. The code is that of ``shape`` where it is not given.
     """
+    own = shape(reps.count())
+    blocks, words, cap = (x if x is not None else y for x, y in zip((blocks, words, cap), own))
     kinds = "filter long, dim long, rep long, size long, body binary, filters binary"
     kind = "<f4" if reps.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     met = cut(reps.select("rep", "size", "embedding").mapInArrow(_filters(blocks, words, cap, least, kind), kinds))

@@ -179,6 +179,35 @@ def test_embeddings(spark):
     assert tiled == {i: r.n_links for i, r in got.items()}
 
 
+@pytest.mark.parametrize("n, dim", [(1_000, 64), (50_000, 64), (2_000_000, 64), (20_000, 384)])
+def test_filters_find_pairs_at_the_threshold(n, dim):
+    """Recall of the filters for a table of n vectors, on pairs at cosine 0.951, and how many filters a vector costs."""
+    rng = np.random.default_rng(3)
+    code = embed_dedup.Code(dim, *embed_dedup.shape(n))
+    x, z = (rng.standard_normal((600, dim)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    met = [np.intersect1d(a, b).size > 0 for a, b in zip(code.decode(x, 16), code.decode(y, 16))]
+    assert np.mean(met) >= 0.99 and np.mean([len(f) for f in code.decode(x, 16)]) < 80
+
+
+def test_embeddings_against_brute_force_in_64_dimensions(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1500, 64))
+    for k in range(300):
+        z = rng.standard_normal(64)
+        z -= z @ x[k] / (x[k] @ x[k]) * x[k]
+        c = 0.9 + 0.1 * k / 300
+        x[1200 + k] = c * x[k] / np.linalg.norm(x[k]) + np.sqrt(1 - c * c) * z / np.linalg.norm(z)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.95) & ~np.eye(1500, dtype=bool)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(rows).collect()}
+    want = near.sum(1)
+    assert want.sum() > 250 and sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in range(1500))
+
+
 def test_packing(spark, texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tk = Tokenizer.from_file(path)
