@@ -5,19 +5,38 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+_folders: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, removed when the application ends.
+
+    In local mode, as in tests, a temporary folder serves where the setting is missing; on a cluster that is an error,
+    since executors would not see one another's files.
+    """
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _folders:
+        base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+        if not base:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="graphloom-")
+        _folders[app] = f"{base.rstrip('/')}/graphloom-{app}"
+        path = context._jvm.org.apache.hadoop.fs.Path(_folders[app])
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return _folders[app]
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` below spark.checkpoint.dir (our own folder where unset) and read it again."""
-    context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if folder is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-        folder = context.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Write ``df`` to the shared folder and read it again: short lineage, safe against lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
