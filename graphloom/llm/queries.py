@@ -73,5 +73,6 @@ QUERIES = {
     )
 }
 
-#: None of these can be written in plain SQL; tests/llm holds each against a brute-force version.
+#: None of these can be written in plain SQL. tests/llm holds op2 to op8 and op10 against plain versions, counted chains or exact
+#: round trips, op1 against pages with known texts, and op4 and op9 against held-out labels.
 ORACLE_SQL: dict[str, str] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -314,6 +315,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert re.fullmatch("vile|foul|grimo.", dict(rows)[0][span.start : span.end])
 
 
+def test_marginals_equal_all_chains_counted():
+    """Forward-backward against the sum over all chains of up to eight tokens, for texts side by side."""
+    rng = np.random.default_rng(8)
+    lengths, jump = np.array([3, 0, 8, 1, 5]), rng.standard_normal((2, 2))
+    emission = rng.standard_normal(lengths.sum())
+    p, pairs = toxicity.Layout(lengths).marginals(emission, jump)
+    want, want_pairs, at = [], np.zeros((2, 2)), 0
+    for n in lengths:
+        total, one, two = 0.0, np.zeros(n), np.zeros((2, 2))
+        for chain in itertools.product((0, 1), repeat=int(n)):
+            w = np.exp(sum(e for e, c in zip(emission[at : at + n], chain) if c) + sum(jump[a, b] for a, b in zip(chain, chain[1:])))
+            total += w
+            one += w * np.array(chain)
+            for a, b in zip(chain, chain[1:]):
+                two[a, b] += w
+        want.extend(one / total)
+        want_pairs += two / total
+        at += n
+    assert np.allclose(p, want) and np.allclose(pairs, want_pairs)
+
+
 def test_chat_round_trip(spark):
     said = ["</s>[INST] ok [/INST]", "a\\<s>", "<<ROLE>>x", None, "", "\\\\", "<</s>>"]
     rows = [(c, t, r, said[(c + t) % len(said)]) for c in range(8) for t, r in enumerate(["system", "user", "assistant", "user", "assistant", None][: c % 6 + 1])]
