@@ -44,7 +44,8 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: Models and tokenizers can't be written in SQL: tests/llm/test_pipeline.py has a plain version.
+#: Models and tokenizers can't be written in SQL. tests/llm/test_pipeline.py holds each stage's rows against a filter of its input by
+#: the operator's other results; tests/llm/test_operators.py holds the operators against plain versions.
 ORACLE_SQL = None
 
 
