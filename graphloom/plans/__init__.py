@@ -1,6 +1,6 @@
 """Registered queries: importing the package registers all of them."""
 
-from . import catalogue, reports, snapshots  # noqa: F401
+from . import catalogue, details, reports, snapshots  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
