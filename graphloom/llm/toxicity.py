@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -289,6 +290,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     return fit([r.text for r in rows], [int(r.toxic > 0) for r in rows])
 
 
+def _slices(sizes: list[int], rows: int, most: int = 8 << 20) -> list[tuple[int, int]]:
+    """Rows of a batch in order: at most ``rows`` and, beyond the first, ``most`` bytes of text at a time."""
+    out, a, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > a and (i - a == rows or total + n > most):
+            out.append((a, i))
+            a, total = i, 0
+        total += n
+    return [*out, (a, len(sizes))] if sizes else []
+
+
 def score(docs: DataFrame, model: Model, slice_rows: int = 500) -> DataFrame:
     """The input's columns with ``tox_score`` double and ``tox_spans`` (start, end, p by token).
 
@@ -302,8 +314,8 @@ def score(docs: DataFrame, model: Model, slice_rows: int = 500) -> DataFrame:
     def run(batches):
         model, cache = shared.value, {}
         for batch in batches:
-            for i in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(i, slice_rows)
+            for a, b in _slices(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), slice_rows):
+                part = batch.slice(a, b - a)
                 texts = [x or "" for x in part.column(at).to_pylist()]
                 sums, tops, spans = score_texts(model, texts, cache, spans=True)
                 yield pa.RecordBatch.from_arrays(
