@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, cut, row_key
+from .common import components, cut, partitions, row_key
 
 SHINGLE = 3
 SEED = 42
@@ -121,9 +121,12 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
         F.col("fps").alias("fps_a"),
         F.col("chunk").alias("chunk_a"),
         ((F.col("step.p") == 0) & (F.col("step.q") == 0)).alias("own"),
-    )
-    pairs = left.join(tiles.withColumnRenamed("chunk", "chunk_b"), ["hi", "lo"]).where("not own or chunk_a <= chunk_b")
-    pairs = pairs.select("fps_a", "fps", (F.col("own") & (F.col("chunk_a") == F.col("chunk_b"))).alias("same"))
+    ).join(F.broadcast(sizes), ["hi", "lo"])
+    # each tile goes to every tile of the other cell by that tile's number, so that a full cell spreads over tasks
+    first = F.when(F.col("own"), F.col("chunk_a")).otherwise(F.lit(0))
+    left = left.withColumn("chunk", F.explode(F.sequence(first, F.col("chunks") - 1)))
+    pairs = left.repartition(partitions(fps.sparkSession), "hi", "lo", "chunk").join(tiles, ["hi", "lo", "chunk"])
+    pairs = pairs.select("fps_a", "fps", (F.col("own") & (F.col("chunk_a") == F.col("chunk"))).alias("same"))
     return pairs.mapInArrow(_compare(radius), "x long, y long")
 
 
