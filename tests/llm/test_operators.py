@@ -435,3 +435,33 @@ def test_empty_tables(spark):
         html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")),
     ):
         assert out.count() == 0
+
+
+def test_simhash_full_cell_of_many_tiles(spark):
+    """Fingerprints of few population counts, in tiles of 4: the links join the groups that all near pairs join."""
+    rng = np.random.default_rng(3)
+    values = set()
+    for _ in range(12):
+        bits = rng.permutation(64)
+        value = sum(1 << int(b) for b in bits[:32])
+        for k in range(8):
+            values.add(value ^ (1 << int(bits[k])) ^ (1 << int(bits[63 - 2 * k])))
+            values.add(value ^ (1 << int(bits[k])))
+    values = sorted(values)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    found = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), tile=4).collect()
+
+    def groups(pairs):
+        up = {v: v for v in signed}
+
+        def top(v):
+            while up[v] != v:
+                v = up[v]
+            return v
+
+        for a, b in pairs:
+            up[max(top(a), top(b))] = min(top(a), top(b))
+        return [top(v) for v in signed]
+
+    near = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= simhash.RADIUS]
+    assert near and groups((r.x, r.y) for r in found) == groups(near)
