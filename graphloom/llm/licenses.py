@@ -53,11 +53,17 @@ def templates(spark: SparkSession, notices=NOTICES, base=BASE) -> DataFrame:
     return spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "template int, label string, text string, base boolean, k int, slack int, cover int")
 
 
-def _runs(given: DataFrame) -> DataFrame:
-    """template, label, base, k, slack, cover, size, at, run, hash: every run of k words of every template."""
-    t = given.withColumn("w", words(F.col("text"))).withColumn("size", F.size("w")).where("size >= k")
-    rows = t.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("k")))).withColumn("run", F.array_join(F.slice("w", F.col("at") + 1, F.col("k")), " "))
-    return rows.withColumn("hash", F.xxhash64("run")).drop("w", "text")
+def _code(k: int, names: list[str]) -> Column:
+    return F.xxhash64(F.lit(k), *(F.col(c) for c in names[:k]))
+
+
+def _runs(given: DataFrame, ks: list[int]) -> DataFrame:
+    """template, label, base, t_k, slack, cover, size, at, t0, t1 ..., hash: every run of k words of every template."""
+    t = given.withColumn("w", words(F.col("text"))).withColumn("size", F.size("w")).where("size >= k").withColumnRenamed("k", "t_k")
+    names = [f"t{j}" for j in range(max(ks, default=0))]
+    rows = t.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("t_k"))))
+    rows = rows.withColumns({c: F.when(F.col("t_k") > j, F.get("w", F.col("at") + j)) for j, c in enumerate(names)})
+    return rows.withColumn("hash", F.coalesce(*(F.when(F.col("t_k") == k, _code(k, names)) for k in ks), F.lit(None).cast("long"))).drop("w", "text")
 
 
 def hits(docs: DataFrame, given: DataFrame) -> DataFrame:
@@ -67,19 +73,23 @@ def hits(docs: DataFrame, given: DataFrame) -> DataFrame:
     a run are compared with the template's, so that no hash decides.
     """
     ks = sorted(r.k for r in given.select("k").distinct().collect())
-    runs = _runs(given)
+    runs = _runs(given, ks)
     few = runs.count() <= BROADCAST
-    rows = docs.select(row_key().alias("key"), "doc_id", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-
-    def runs_of(k):
-        return F.transform("w", lambda x, i: F.concat_ws(" ", x, *(F.get("w", i + j) for j in range(1, k))))
-
-    each = F.concat(F.array(F.lit(None).cast("string")), *(runs_of(k) for k in ks))  # the document, then runs of each length
-    rows = rows.select("key", "doc_id", "n", F.posexplode(each).alias("q", "met")).withColumn("code", F.xxhash64("met"))
-    p = F.pmod(F.col("q") - 1, F.greatest("n", F.lit(1)))
-    met = rows.join(F.broadcast(runs) if few else runs, (F.col("code") == F.col("hash")) & (F.col("met") == F.col("run")), "left")
-    met = met.where((F.col("q") == 0) | F.col("template").isNotNull()).withColumnRenamed("k", "t_k")
-    place = F.when(F.col("q") > 0, p).alias("p")
+    most = max(ks, default=1)
+    # row q > 0 holds word q - 1 and those that follow it; row 0 is the document
+    later = {f"w{j}": F.slice("w", j, F.size("w")) if j > 1 else F.col("w") for j in range(1, most)}
+    rows = docs.select(row_key().alias("key"), "doc_id", words(F.col("text")).alias("w"))
+    rows = rows.select("key", "doc_id", F.size("w").alias("n"), F.concat(F.array(F.lit(None).cast("string")), "w").alias("w0"), *(c.alias(name) for name, c in later.items()))
+    names = [f"w{j}" for j in range(most)]
+    rows = rows.select("key", "doc_id", "n", F.posexplode(F.arrays_zip(*names)).alias("q", "x"))
+    rows = rows.select("key", "doc_id", "n", "q", *(F.col(f"x.{c}").alias(c) for c in names))
+    codes = F.array(*(F.when((F.col("q") > 0) & F.col(names[k - 1]).isNotNull(), _code(k, names)) for k in ks), F.lit(None).cast("long"))
+    rows = rows.select("*", F.posexplode(codes).alias("turn", "code")).where("code IS NOT NULL OR q = 0 AND turn = 0")
+    same = F.col("code") == F.col("hash")
+    for j, c in enumerate(names):
+        same = same & ((F.col("t_k") <= j) | (F.col(c) == F.col(f"t{j}")))
+    met = rows.join(F.broadcast(runs) if few else runs, same, "left").where((F.col("q") == 0) | F.col("template").isNotNull())
+    place = F.when(F.col("q") > 0, F.col("q") - 1).alias("p")
     return met.groupBy("key", "doc_id", "n", "template", "label", "base", "t_k", "slack", "cover", "size", "at", place).agg(F.count("*").alias("copies"))
 
 
