@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import changed, log2_branches, milli, round6
-from .graph import adjacency, spread, vertices
+from .graph import Packed, adjacency, spread, vertices
+from .selection import placed
 
 
 def node_delta(base: DataFrame, head: DataFrame) -> DataFrame:
     """file, symbol, classification, base_branches, head_branches, delta_log2; unchanged rows are left out."""
+    attributes = [c for c in ("escapes", "toll_booth", "outcome_arity") if c in base.columns and c in head.columns]
+
     def side(df: DataFrame, p: str) -> DataFrame:
-        cols = [F.col(c).alias(f"{p}_{c}") for c in ("branches", "escapes", "outcome_arity")]
+        cols = [F.col(c).alias(f"{p}_{c}") for c in ("branches", *attributes)]
         return df.select("file", "symbol", *cols, F.lit(True).alias(f"{p}_in"))
 
     both = side(base, "base").join(side(head, "head"), ["file", "symbol"], "full")
@@ -22,7 +27,7 @@ def node_delta(base: DataFrame, head: DataFrame) -> DataFrame:
     kind = (
         F.when(F.col("base_in").isNull(), "NEW").when(F.col("head_in").isNull(), "REMOVED")
         .when(changed(b, h), F.when(h.isNull() | (b > h), "SHRUNK").otherwise("GROWN"))
-        .when(changed(F.col("base_escapes"), F.col("head_escapes")) | changed(F.col("base_outcome_arity"), F.col("head_outcome_arity")), "CHANGED_ATTRS")
+        .when(reduce(or_, (changed(F.col(f"base_{c}"), F.col(f"head_{c}")) for c in attributes), F.lit(False)), "CHANGED_ATTRS")
     )
     change = F.when(kind == "CHANGED_ATTRS", F.lit(0.0)).otherwise(log2_branches(h) - log2_branches(b))
     return both.withColumns({"classification": kind, "delta_log2": round6(change)}).where("classification is not null").select(
@@ -45,6 +50,19 @@ def ep_delta(base: DataFrame, head: DataFrame, metrics: list[str]) -> DataFrame:
     )
 
 
+def ep_moves(base: DataFrame, head: DataFrame, metrics: list[str]) -> DataFrame:
+    """ep, status (new, removed, moved) and the change of each metric of entrypoints that are new, removed or moved in any metric.
+
+    A change is null where a side, or its value, is missing; a value that comes or goes is a move, a missing one on both sides is none.
+    """
+    x = base.select("ep", *(F.col(m).alias(f"b_{m}") for m in metrics), F.lit(True).alias("b_in"))
+    y = head.select("ep", *(F.col(m).alias(f"h_{m}") for m in metrics), F.lit(True).alias("h_in"))
+    moved = reduce(or_, (changed(F.col(f"b_{m}"), F.col(f"h_{m}")) for m in metrics), F.lit(False))
+    status = F.when(F.col("b_in").isNull(), "new").when(F.col("h_in").isNull(), "removed").when(moved, "moved")
+    rows = x.join(y, "ep", "full").withColumn("status", status).where("status is not null")
+    return rows.select("ep", "status", *(round6(F.col(f"h_{m}") - F.col(f"b_{m}")).alias(f"delta_{m}") for m in metrics))
+
+
 @dataclass
 class Side:
     """One snapshot as the review surface needs it: pairs(a, b, calls), and ``blast`` by symbol."""
@@ -95,19 +113,32 @@ def coupling_flips(base: DataFrame, head: DataFrame, base_edges: DataFrame, head
     return both.join(delta, ["file", "symbol"], "left_anti").select("file", "symbol")
 
 
-def contributors(delta: DataFrame, eps: DataFrame, comps: DataFrame, reached: DataFrame, top: int = 5) -> DataFrame:
-    """ep, nth, symbol, delta_log2, omitted: the changed nodes of each cone by size of the change, file and symbol, and how many more there are.
+def contributors(delta: DataFrame, comps: DataFrame, reached: Packed, top: int = 5) -> DataFrame:
+    """ep, nth, node, delta_log2, omitted: the changed nodes of each cone by size of the change, file and symbol, and how many more there are.
 
-    Each component brings its ``top`` changed nodes and their number, so that no cone is listed in full.
+    Changed nodes get a place in the order of all; each component brings its ``top`` places and its number of changed nodes.
     """
-    order = (F.desc(F.abs(F.coalesce("delta_log2", F.lit(0.0)))), F.asc("file"), F.asc("symbol"))
-    rows = delta.join(comps, "symbol")
-    best = rows.withColumn("k", F.row_number().over(Window.partitionBy("comp").orderBy(*order))).where(F.col("k") <= top)
-    sums = reached.join(rows.groupBy("comp").agg(F.count("*").alias("n")), "comp").groupBy("source").agg(F.sum("n").alias("n"))
-    nth = reached.join(best.select("comp", "file", "symbol", "delta_log2"), "comp").withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy(*order)))
-    kept = nth.where(F.col("nth") <= top).join(sums, "source")
-    names = eps.select(F.col("symbol").alias("ep"), "symbol").join(comps, "symbol").select("ep", F.col("comp").alias("source"))
-    return names.join(kept.select("source", F.col("nth").cast("long").alias("nth"), F.col("symbol").alias("node"), "delta_log2", F.greatest(F.col("n") - top, F.lit(0)).cast("long").alias("omitted")), "source").drop("source")
+    order = [F.desc(F.abs(F.coalesce("delta_log2", F.lit(0.0)))), F.asc("file"), F.asc("symbol")]
+    rows = placed(delta.select("file", "symbol", "delta_log2"), order).join(comps, "symbol")
+    best = rows.withColumn("k", F.row_number().over(Window.partitionBy("comp").orderBy("place"))).where(F.col("k") <= top)
+    number = rows.groupBy("comp").agg(F.count("*").alias("n"))
+    sums = Packed.apart(reached.held.join(number, "comp"), ["n"]).groupBy("id").agg(F.sum("n").alias("n"))
+    cones = Packed.apart(reached.held.join(best.select("comp", "place"), "comp"), ["place"])
+    kept = cones.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("place"))).where(F.col("nth") <= top)
+    named = kept.join(rows.select("place", F.col("symbol").alias("node"), "delta_log2"), "place").join(sums, "id").join(reached.eps.select("ep", "id"), "id")
+    return named.select("ep", F.col("nth").cast("long").alias("nth"), "node", "delta_log2", F.greatest(F.col("n") - top, F.lit(0)).cast("long").alias("omitted"))
+
+
+def escapes_by_entrypoint(events: DataFrame, comps: DataFrame, reached: Packed, top: int = 5) -> DataFrame:
+    """ep, events, first: how many of ``events(file, symbol)`` each cone holds, and the first of them by file and symbol."""
+    rows = placed(events.select("file", "symbol"), [F.asc("file"), F.asc("symbol")]).join(comps, "symbol")
+    number = rows.groupBy("comp").agg(F.count("*").alias("n"))
+    sums = Packed.apart(reached.held.join(number, "comp"), ["n"]).groupBy("id").agg(F.sum("n").alias("events"))
+    best = rows.withColumn("k", F.row_number().over(Window.partitionBy("comp").orderBy("place"))).where(F.col("k") <= top)
+    cones = Packed.apart(reached.held.join(best.select("comp", "place"), "comp"), ["place"])
+    kept = cones.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("place"))).where(F.col("nth") <= top)
+    names = kept.join(rows.select("place", "symbol"), "place").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("nth", "symbol"))).alias("t"))  # at most ``top``
+    return sums.join(names, "id").join(reached.eps.select("ep", "id"), "id").select("ep", F.col("events").cast("long").alias("events"), F.array_join("t.symbol", ",").alias("first"))
 
 
 def unreached_files(base: DataFrame, head: DataFrame, base_seen: DataFrame, head_seen: DataFrame) -> DataFrame:

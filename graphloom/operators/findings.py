@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .report import medians
+
 # fixed values: the metrics shown beside the hotspots of each dimension
 DRIVING = {
     "reverse_traceability": ("fan_in", "centrality", "in_cycle"),
@@ -108,11 +110,11 @@ def touched_nodes(files: DataFrame, nodes: DataFrame) -> DataFrame:
 def cohort_medians(changes: DataFrame, cohort: DataFrame, limit: float) -> DataFrame:
     """n, n_flagged, flagged_median, q1_median over the changes that the cohort's table keeps; one row, of zeros and nulls for no change."""
     kept = changes.join(cohort.where("kept").select("change", "quartile"), "change")
-    flagged = F.col("max_log2") > limit
-    return kept.agg(
-        F.count("*").alias("n"), F.count_if(flagged).alias("n_flagged"), F.median(F.when(flagged, F.col("latency"))).alias("flagged_median"),
-        F.median(F.when(F.col("quartile") == 1, F.col("latency"))).alias("q1_median"),
-    )
+    flagged = F.coalesce(F.col("max_log2") > limit, F.lit(False))
+    parts = F.array_compact(F.array(F.when(flagged, F.lit("flagged")), F.when(F.col("quartile") == 1, F.lit("q1"))))
+    meds = medians(kept.select("latency", F.explode(parts).alias("part")), ["part"], "latency")
+    one = meds.agg(*(F.max(F.when(F.col("part") == p, F.col("med"))).alias(f"{p}_median") for p in ("flagged", "q1")))
+    return kept.agg(F.count("*").alias("n"), F.count_if(flagged).alias("n_flagged")).crossJoin(one)  # one row each
 
 
 def manifest(now: DataFrame, version: Column) -> DataFrame:

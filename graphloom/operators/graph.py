@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LN2, log2_branches, round6
 from ..storage import cut, cut_counting
+from .selection import placed
 
 CAP = 1_000_000.0
 
@@ -69,38 +73,79 @@ def jump(links: DataFrame, sums: tuple[str, ...] = (), ends: tuple[str, ...] = (
 
 
 def relax(start: DataFrame, steps: DataFrame, most: bool = True, max_rounds: int = 100_000) -> DataFrame:
-    """v, x: the largest (or smallest) x that reaches v from ``start(v, x)`` over ``steps(a, b, w)``, growing by w at each."""
+    """v, x: the largest (or smallest) x that reaches v from ``start(v, x)`` over ``steps(a, b, w)``, growing by w at each.
+
+    Each round writes the values that got better, and nothing else; now and then the rounds become one table.
+    """
     fold = F.max if most else F.min
-    known = cut(start.select("v", "x", F.lit(True).alias("new")))
-    for _ in range(max_rounds):
-        front = known.where("new").select(F.col("v").alias("a"), "x")
-        told = front.join(steps, "a").groupBy(F.col("b").alias("v")).agg(fold(F.col("x") + F.col("w") if most else F.col("x")).alias("y"))
-        better = F.col("y").isNotNull() & (F.col("x").isNull() | (F.col("y") > F.col("x") if most else F.col("y") < F.col("x")))
-        both = known.select("v", "x").join(told, "v", "full").select("v", F.when(better, F.col("y")).otherwise(F.col("x")).alias("x"), better.alias("new"))
-        known, n = cut_counting(both, F.col("new"))
+    known = front = cut(start.select("v", "x"))
+    for k in range(1, max_rounds):
+        best = known.groupBy("v").agg(fold("x").alias("x"))
+        told = front.withColumnRenamed("v", "a").join(steps, "a").groupBy(F.col("b").alias("v")).agg(fold(F.col("x") + F.col("w") if most else F.col("x")).alias("y"))
+        better = F.col("x").isNull() | (F.col("y") > F.col("x") if most else F.col("y") < F.col("x"))
+        front, n = cut_counting(told.join(best, "v", "left").where(better).select("v", F.col("y").alias("x")))
         if not n:
-            return known.select("v", "x")
+            return best
+        known = known.unionByName(front)
+        if not k % 16:
+            known = cut(known.groupBy("v").agg(fold("x").alias("x")))
     raise RuntimeError("the values did not settle")
 
 
-def spread(pairs: DataFrame, sources: DataFrame) -> DataFrame:
-    """symbol: everything that any of ``sources(symbol)`` reaches over pairs(a, b), the sources included; one row each."""
-    start = sources.select(F.col("symbol").alias("v"), F.lit(0).alias("x")).distinct()
-    return relax(start, pairs.select("a", "b", F.lit(0).alias("w"))).select(F.col("v").alias("symbol"))
+def spread(pairs: DataFrame, sources: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    """symbol: everything that any of ``sources(symbol)`` reaches over pairs(a, b), the sources included; one row each, written once."""
+    known = front = cut(sources.select("symbol").distinct())
+    for k in range(1, max_rounds):
+        step = front.join(pairs, F.col("symbol") == F.col("a")).select(F.col("b").alias("symbol")).distinct()
+        front, n = cut_counting(step.join(known, "symbol", "left_anti"))
+        if not n:
+            return known
+        known = known.unionByName(front)
+        if not k % 16:
+            known = cut(known)
+    raise RuntimeError("the frontier did not empty")
+
 
+def fold_up(own: DataFrame, steps: DataFrame, values: list[str], told: dict, merge, settle: dict, max_rounds: int = 100_000) -> DataFrame:
+    """v and ``values`` of a graph without cycles, from its sinks up: each vertex is worked out once, when all it calls is.
 
-def trim(pairs: DataFrame, max_rounds: int = 100_000) -> tuple[DataFrame, int]:
-    """Drop edges that cannot lie on a cycle, until all ends have a way in and a way out: what is left, and its number of edges."""
+    ``own(v, ...)`` has a row for each vertex, ``steps(a, b, ...)`` its calls. A sink has its own values. What a call adds is ``told[c]``, an
+    expression of the step and the values of ``b``; ``merge[c]`` adds up what the calls of a vertex told, and ``settle[c]`` makes the value from
+    that and the vertex's own columns (named ``own_c``). A round takes the vertices released by the one before, counts the calls answered, and
+    writes the vertices it releases; those that still wait for an answer are carried with what they were told.
+    """
+    need = steps.groupBy(F.col("a").alias("v")).agg(F.count("*").alias("need"))
+    rows = cut(own.select("v", *(F.col(c).alias(f"own_{c}") for c in values)).join(need, "v", "left"))
+    done = front = rows.where("need is null").select("v", *(F.col(f"own_{c}").alias(c) for c in values))
+    kept = ["need", *(f"own_{c}" for c in values)]  # what a vertex has itself comes with its calls: a round is one join and one aggregation
+    calls, waiting = cut(steps.join(rows.where("need is not null").withColumnRenamed("v", "a"), "a")), None
+    for k in range(1, max_rounds):
+        here = front.withColumnRenamed("v", "b").join(calls, "b").select(F.col("a").alias("v"), F.lit(1).cast("long").alias("got"), *(told[c].alias(c) for c in values), *kept)
+        here = here if waiting is None else here.unionByName(waiting)
+        here = here.groupBy("v").agg(F.sum("got").alias("got"), *(merge[c](c).alias(c) for c in values), *(F.max(c).alias(c) for c in kept))
+        ready = F.col("got") == F.col("need")
+        table, n = cut_counting(here.select("v", "got", *(F.when(ready, settle[c]).otherwise(F.col(c)).alias(c) for c in values), *kept, ready.alias("ready")), F.col("ready"))
+        if not n:
+            return done
+        front, waiting = table.where("ready").select("v", *values), table.where("not ready").drop("ready")
+        done = done.unionByName(front)
+        if not k % 16:
+            done = cut(done)
+    raise RuntimeError("the levels did not end")
+
+
+def trim(pairs: DataFrame, jobs: int = 100_000) -> tuple[DataFrame, int]:
+    """Drop edges that cannot lie on a cycle until all ends have a way in and a way out, or ``jobs`` are spent: what is left, and its number of edges."""
     before = -1
-    for _ in range(max_rounds):
+    for _ in range(jobs):
         for _ in range(3):  # steps of one job
             ins, outs = pairs.select(F.col("b").alias("k")).distinct(), pairs.select(F.col("a").alias("k")).distinct()
             pairs = pairs.join(ins, pairs.a == ins.k, "left_semi").join(outs, pairs.b == outs.k, "left_semi")
         pairs, n = cut_counting(pairs)
         if n in (0, before):
-            return pairs, n
+            break
         before = n
-    raise RuntimeError("the trimming did not end")
+    return pairs, n
 
 
 def _contracted(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -120,13 +165,15 @@ def _contracted(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def components(symbols: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """symbol, comp: strongly connected components, named by their smallest member.
 
-    Chains are drawn together, ends that lie on no cycle trimmed; then each vertex takes the smallest symbol that reaches
-    it as its colour, and what reaches that symbol inside the colour is its component. Rounds follow the
-    diameter of the components; no pair of vertices is ever a row.
+    Ends that lie on no cycle are trimmed, which is all there is to do for a shallow graph without cycles; of what is left
+    chains are drawn together, then each vertex takes the smallest symbol that reaches it as its colour, and what reaches that symbol
+    inside the colour is its component. Rounds follow the diameter of the components; no pair of vertices is ever a row.
     """
-    edges, members = _contracted(cut(pairs.where("a <> b").select("a", "b").distinct()))
-    done = None
-    for _ in range(max_rounds):
+    edges, n = trim(cut(pairs.where("a <> b").select("a", "b").distinct()), jobs=4)
+    done = members = None
+    if n:
+        edges, members = _contracted(edges)
+    for _ in range(max_rounds if n else 0):
         edges, n = trim(edges)
         if not n:
             break
@@ -141,7 +188,8 @@ def components(symbols: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -
         gone = found.select(F.col("v").alias("a"))
         edges = cut(edges.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti"))
     else:
-        raise RuntimeError("the components did not end")
+        if n:
+            raise RuntimeError("the components did not end")
     if done is None:
         done = edges.select(F.col("a").alias("v"), F.col("a").alias("comp"))
     if members is not None:  # a chain belongs to the component at both its ends, or is a cycle of its own
@@ -173,12 +221,12 @@ def hops(condensed: DataFrame) -> DataFrame:
     """comp, hops: most hops to a sink, for components that have a way out. Ways without a branch are taken at once."""
     one, many = _single(condensed.select("a", "b"))
     far = jump(one.select(F.col("a").alias("v"), F.col("b").alias("to"), F.lit(1).cast("long").alias("n")), sums=("n",)).select("v", F.col("to").alias("end"), "n")
-    up = cut(
+    steps = cut(
         many.join(far.select(F.col("v").alias("b"), "end", "n"), "b", "left")
-        .groupBy(F.coalesce("end", "b").alias("a"), F.col("a").alias("b")).agg(F.max(F.coalesce("n", F.lit(0)) + 1).alias("w"))
+        .groupBy("a", F.coalesce("end", "b").alias("b")).agg(F.max(F.coalesce("n", F.lit(0)) + 1).alias("w"))
     )
-    sinks = up.select(F.col("a").alias("v")).union(far.select("end")).distinct().join(many.select(F.col("a").alias("v")).distinct(), "v", "left_anti")
-    known = relax(sinks.withColumn("x", F.lit(0).cast("long")), up)
+    ends = steps.select(F.col("a").alias("v")).union(steps.select("b")).union(far.select("end")).distinct().withColumn("x", F.lit(0).cast("long"))
+    known = fold_up(ends, steps, ["x"], {"x": F.col("x") + F.col("w")}, {"x": F.max}, {"x": F.col("x")})
     rest = far.join(known, F.col("end") == known.v).select(far.v, (F.col("n") + F.col("x")).alias("x"))
     return known.where("x > 0").unionByName(rest).select(F.col("v").alias("comp"), F.col("x").alias("hops"))
 
@@ -188,10 +236,59 @@ def depth(comps: DataFrame, condensed: DataFrame) -> DataFrame:
     return comps.join(hops(condensed), "comp", "left").select("symbol", F.greatest(F.coalesce("hops", F.lit(0)), F.lit(1)).cast("long").alias("depth"))
 
 
-def comp_reach(nodes: DataFrame, comps: DataFrame, condensed: DataFrame) -> DataFrame:
-    """source, comp: the components that each entrypoint's component reaches, itself included."""
-    eps = nodes.where("entrypoint").join(comps, "symbol").select(F.col("comp").alias("symbol")).distinct()
-    return reach(condensed, eps).select(F.col("ep").alias("source"), F.col("v").alias("comp"))
+WORDS = 8  # longs of a block: 512 entrypoints
+_BITS = [f"w{k}" for k in range(WORDS)]
+
+
+@dataclass
+class Packed:
+    """Which entrypoints reach what, as bit sets: eps(ep, comp, id), and held(comp, block, w0 to w7), where id = block * 512 + place of the bit."""
+
+    eps: DataFrame
+    held: DataFrame
+
+    def counts(self) -> DataFrame:
+        """comp, n: how many entrypoints reach it."""
+        bits = sum((F.bit_count(w) for w in _BITS[1:]), F.bit_count(_BITS[0]))
+        return self.held.groupBy("comp").agg(F.sum(bits).alias("n"))
+
+    @staticmethod
+    def apart(rows: DataFrame, columns: list[str]) -> DataFrame:
+        """id and ``columns`` for each bit of ``rows``: what follows is to be added up by id before it is shuffled."""
+        words = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(w).alias("w")) for k, w in enumerate(_BITS)))).alias("x")
+        some = rows.select("block", *columns, words).where("x.w <> 0").select("block", *columns, "x.k", "x.w")
+        bit = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")
+        on = some.select("block", *columns, "k", "w", bit).where(F.expr("getbit(w, i) = 1"))
+        return on.select((F.col("block") * 64 * WORDS + F.col("k") * 64 + F.col("i")).alias("id"), *columns)
+
+
+def packed_reach(nodes: DataFrame, comps: DataFrame, condensed: DataFrame, max_rounds: int = 100_000) -> Packed:
+    """The entrypoints that reach each component, in blocks of 512 bits, along the condensation.
+
+    A round tells the bits that are new in a component to the components that it calls. The rows are components times
+    blocks, and each is written again only when entrypoints arrive by a longer way than others of their block.
+    """
+    eps = vertices(nodes).where("entrypoint").select(F.col("symbol").alias("ep"), "symbol").join(comps, "symbol").select("ep", "comp")
+    n = cut(eps)
+    eps = cut(n.repartition(1 + n.count() // 50_000, "comp").withColumn("id", F.monotonically_increasing_id()))
+    place = F.col("id") % (64 * WORDS)
+    seeds = eps.select("comp", F.floor(F.col("id") / (64 * WORDS)).alias("block"), *(F.when(F.floor(place / 64) == k, F.expr("shiftleft(1L, CAST(id % 64 AS INT))")).otherwise(F.lit(0).cast("long")).alias(w) for k, w in enumerate(_BITS)))
+
+    def met(rows):
+        return rows.groupBy("comp", "block").agg(*(F.bit_or(w).alias(w) for w in _BITS))
+
+    known = front = cut(met(seeds))
+    for k in range(1, max_rounds):
+        told = met(front.withColumnRenamed("comp", "a").join(condensed, "a").select(F.col("b").alias("comp"), "block", *_BITS))
+        had = met(known).withColumnsRenamed({w: f"had_{w}" for w in _BITS})
+        new = told.join(had, ["comp", "block"], "left").select("comp", "block", *(F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(F.col(f"had_{w}"), F.lit(0).cast("long")))).alias(w) for w in _BITS))
+        front, n = cut_counting(new.where(" OR ".join(f"{w} <> 0" for w in _BITS)))
+        if not n:
+            return Packed(eps, met(known) if k > 1 else known)
+        known = known.unionByName(front)
+        if not k % 16:
+            known = cut(met(known))
+    raise RuntimeError("the bit sets did not settle")
 
 
 def everything(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -199,13 +296,13 @@ def everything(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.select("symbol").union(pairs.select("a")).union(pairs.select("b")).distinct()
 
 
-def ep_metrics(nodes: DataFrame, pairs: DataFrame, comps: DataFrame, reached: DataFrame) -> DataFrame:
+def ep_metrics(nodes: DataFrame, pairs: DataFrame, comps: DataFrame, reached: Packed) -> DataFrame:
     """One row for each entrypoint: ep, file, kind, branching_log2, mass, reach, files, own_branches, max_cone_node, max_cone_node_log2,
     escapes_in_cone.
 
-    ``reached`` holds components by source component (``comp_reach``): what a component adds is folded first, so a cone
-    costs its components and not its vertices. Externals are crossed and their calls weigh in the mass; only
-    nodes count in the rest.
+    What a component adds is folded first and its best node gets a place in the order of all, so that a cone is sums and a least number: bits are
+    taken apart and added up by entrypoint in the task that reads them. Files meet entrypoints as bit sets too. Externals are crossed and
+    their calls weigh in the mass; only nodes count in the rest.
     """
     v = vertices(nodes).join(comps, "symbol")
     out = pairs.join(comps.withColumnRenamed("symbol", "a"), "a").groupBy("comp").agg(F.sum("calls").alias("calls"))
@@ -214,40 +311,75 @@ def ep_metrics(nodes: DataFrame, pairs: DataFrame, comps: DataFrame, reached: Da
         F.sum(log2_branches(F.col("branches"))).alias("log2"), F.count("*").alias("n"), F.min(most).alias("most"),
         F.count_if(F.coalesce("escapes", F.lit(False))).alias("escapes"),
     )
-    whole = cut(parts.join(out, "comp", "full"))
-    folds = reached.join(whole, "comp").groupBy("source").agg(
-        round6(F.sum("log2")).alias("branching_log2"), F.coalesce(F.sum("calls"), F.lit(0)).cast("long").alias("mass"), F.coalesce(F.sum("n"), F.lit(0)).alias("reach"),
-        F.min("most").alias("most"), F.coalesce(F.sum("escapes"), F.lit(0)).alias("escapes_in_cone"),
+    whole = placed(parts.join(out, "comp", "full"), [F.col("most.n").asc_nulls_last(), F.col("most.file"), F.col("most.symbol")])
+    best = F.when(F.col("most").isNotNull(), F.col("place")).alias("place")
+    rows = reached.held.join(whole.select("comp", "log2", "n", "escapes", "calls", best), "comp")
+    columns = ["log2", "n", "escapes", "calls", "place"]
+    zero = F.lit(0)
+    folds = Packed.apart(rows, columns).groupBy("id").agg(
+        round6(F.sum("log2")).alias("branching_log2"), F.coalesce(F.sum("calls"), zero).cast("long").alias("mass"), F.coalesce(F.sum("n"), zero).alias("reach"),
+        F.min("place").alias("place"), F.coalesce(F.sum("escapes"), zero).alias("escapes_in_cone"),
     )
-    files = reached.join(v.select("comp", "file").distinct(), "comp").groupBy("source").agg(F.countDistinct("file").alias("files"))
+    by_file = reached.held.join(v.select("comp", "file").distinct(), "comp").groupBy("file", "block").agg(*(F.bit_or(w).alias(w) for w in _BITS))
+    files = Packed.apart(by_file, []).groupBy("id").agg(F.count("*").alias("files"))
     kind = F.col("entrypoint_kind") if "entrypoint_kind" in nodes.columns else F.lit(None).cast("string")
-    own = v.where("entrypoint").select(F.col("symbol").alias("ep"), "file", kind.alias("kind"), F.col("branches").cast("long").alias("own_branches"), F.col("comp").alias("source"))
+    own = vertices(nodes).where("entrypoint").select(F.col("symbol").alias("ep"), "file", kind.alias("kind"), F.col("branches").cast("long").alias("own_branches"))
     log = F.coalesce(F.log2((-F.col("most.n")).cast("double")), log2_branches(F.col("own_branches")))
-    return own.join(folds.join(files, "source"), "source").select(
+    return own.join(reached.eps, "ep").join(folds, "id").join(files, "id").join(whole.select("place", "most"), "place", "left").select(
         "ep", "file", "kind", "branching_log2", "mass", "reach", "files", "own_branches", F.coalesce("most.symbol", "ep").alias("max_cone_node"),
         round6(log).alias("max_cone_node_log2"), "escapes_in_cone",
     )
 
 
-def top_nodes(nodes: DataFrame, comps: DataFrame, reached: DataFrame, top: int = 5) -> DataFrame:
-    """ep, nth, symbol, log2: the ``top`` nodes of each cone by log2 branches, ties by file and symbol.
+def top_nodes(nodes: DataFrame, comps: DataFrame, reached: Packed, top: int = 5, gap: bool = False) -> DataFrame:
+    """ep, nth, symbol, log2: the ``top`` nodes of each cone by log2 branches, or by their extraction gap; ties by file and symbol.
 
-    Each component brings its own best nodes, so a cone is ranked over a few rows for each component.
+    The gap is log2 branches less log2 of the smaller of branches and arity, and all of it where the arity is missing. Nodes get a place in
+    the order of all, each component brings its own best, and a cone keeps the first places as its parts come in.
     """
-    v = vertices(nodes).where("branches >= 1").join(comps, "symbol")
-    order = (F.desc("branches"), F.asc("file"), F.asc("symbol"))
-    best = v.withColumn("k", F.row_number().over(Window.partitionBy("comp").orderBy(*order))).where(F.col("k") <= top)
-    ranked = reached.join(best.select("comp", "symbol", "file", "branches"), "comp").withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy(*order)))
-    eps = vertices(nodes).where("entrypoint").select(F.col("symbol").alias("ep"), "symbol").join(comps, "symbol").select("ep", F.col("comp").alias("source"))
-    kept = ranked.where(F.col("nth") <= top).select("source", "nth", "symbol", round6(log2_branches(F.col("branches"))).alias("log2"))
-    return eps.join(kept, "source").select("ep", F.col("nth").cast("long").alias("nth"), "symbol", "log2")
+    own = log2_branches(F.col("branches"))
+    by = own - log2_branches(F.least("branches", F.col("outcome_arity"))) if gap else own
+    by = F.round(F.when(F.col("outcome_arity").isNull(), own).otherwise(by), 9) if gap else by  # equal ratios are equal gaps
+    v = vertices(nodes).where("branches >= 1").withColumn("by", by)
+    v = placed(v.select("symbol", "file", "branches", "by"), [F.desc("by"), F.asc("file"), F.asc("symbol")]).join(comps, "symbol")
+    best = v.withColumn("k", F.row_number().over(Window.partitionBy("comp").orderBy("place"))).where(F.col("k") <= top)
+    cones = Packed.apart(reached.held.join(best.select("comp", "place"), "comp"), ["place"])
+    kept = cones.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("place"))).where(F.col("nth") <= top)
+    named = kept.join(v.select("place", "symbol", "branches"), "place").join(reached.eps.select("ep", "id"), "id")
+    return named.select("ep", F.col("nth").cast("long").alias("nth"), "symbol", round6(log2_branches(F.col("branches"))).alias("log2"))
+
+
+def ep_rows(nodes: DataFrame, pairs: DataFrame, comps: DataFrame, condensed: DataFrame, reached: Packed, folds: DataFrame, top: int = 5) -> DataFrame:
+    """The whole row of each entrypoint: the columns of ``ep_metrics``, depth, variety, dividend, dividend_log2, fallback, and the names of its
+    ``top`` nodes by branches and by extraction gap, in their order. Where no node has an arity, what follows from arities is null."""
+    captured = nodes.agg(F.coalesce(F.bool_or(F.col("outcome_arity").isNotNull()), F.lit(False)).alias("captured"))
+    far = depth(comps, condensed).withColumnRenamed("symbol", "ep")
+    worth = dividends(vertices(nodes).where("entrypoint"), comps, folds)
+
+    def names(gap, name):
+        rows = top_nodes(nodes, comps, reached, top, gap).groupBy("ep").agg(F.array_sort(F.collect_list(F.struct("nth", "symbol"))).alias("t"))  # at most ``top``
+        return rows.select("ep", F.col("t.symbol").alias(name))
+
+    rows = ep_metrics(nodes, pairs, comps, reached).join(far, "ep", "left").join(worth, "ep", "left").join(names(False, "top_nodes"), "ep", "left").join(names(True, "top_dividend_nodes"), "ep", "left")
+    gated = ("variety", "dividend", "dividend_log2", "fallback", "top_dividend_nodes")
+    return rows.crossJoin(F.broadcast(captured)).select("*", *(F.when(F.col("captured"), F.col(c)).alias(f"_{c}") for c in gated)).drop("captured", *gated).withColumnsRenamed({f"_{c}": c for c in gated})  # one row
+
+
+def cone_nodes(nodes: DataFrame, pairs: DataFrame, ep: str) -> DataFrame:
+    """file, symbol of the nodes that one symbol reaches, itself included; an unknown symbol has none."""
+    first = vertices(nodes).where(F.col("symbol") == ep).select("symbol")
+    return vertices(nodes).join(spread(pairs, first), "symbol", "left_semi").select("file", "symbol")
+
 
+def zero_predecessors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """symbol of entrypoints that nothing else calls."""
+    called = pairs.where("a <> b").select(F.col("b").alias("symbol"))
+    return vertices(nodes).where("entrypoint").join(called, "symbol", "left_anti").select("symbol")
 
-def blast(nodes: DataFrame, comps: DataFrame, reached: DataFrame) -> DataFrame:
+
+def blast(nodes: DataFrame, comps: DataFrame, reached: Packed) -> DataFrame:
     """symbol, blast: number of entrypoints whose cone holds the node, 0 if none."""
-    eps = vertices(nodes).where("entrypoint").join(comps, "symbol").groupBy(F.col("comp").alias("source")).agg(F.count("*").alias("k"))
-    met = reached.join(eps, "source").groupBy("comp").agg(F.sum("k").alias("n"))
-    return vertices(nodes).select("symbol").join(comps, "symbol").join(met, "comp", "left").select("symbol", F.coalesce("n", F.lit(0)).cast("long").alias("blast"))
+    return vertices(nodes).select("symbol").join(comps, "symbol").join(reached.counts(), "comp", "left").select("symbol", F.coalesce("n", F.lit(0)).cast("long").alias("blast"))
 
 
 def unreachable(nodes: DataFrame, seen: DataFrame) -> DataFrame:
@@ -304,18 +436,10 @@ def variety(terms: DataFrame, condensed: DataFrame) -> DataFrame:
         .select("a", F.coalesce("end", "b").alias("b"), F.coalesce("w_vty", zero).alias("w_vty"), F.coalesce("w_floor", zero).alias("w_floor"), F.coalesce("w_taint", no).alias("w_taint"))
     )
     ends = own.join(one.select(F.col("a").alias("v")), "v", "left_anti")  # branch, or go nowhere
-    leaf = ends.join(many.select(F.col("a").alias("v")).distinct(), "v", "left_anti")
-    level = relax(leaf.select("v", F.lit(0).alias("x")), steps.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).alias("w")).distinct())
-    ends = cut(ends.join(level, "v").withColumnRenamed("x", "level"))
-    known = cut(leaf)
-    for k in range(1, (ends.agg(F.max("level")).first()[0] or 0) + 1):
-        here = ends.where(F.col("level") == k)
-        mine = steps.join(here.select(F.col("v").alias("a")), "a", "left_semi")
-        below = mine.join(known, F.col("b") == F.col("v")).groupBy(F.col("a").alias("v")).agg(
-            F.sum(F.col("w_vty") + F.col("vty")).alias("s_vty"), F.sum(F.col("w_floor") + F.col("floor")).alias("s_floor"), F.bool_or(F.col("w_taint") | F.col("taint")).alias("s_taint")
-        )
-        new = here.join(below, "v").select("v", (F.col("vty") + F.col("s_vty")).alias("vty"), (F.col("floor") + F.col("s_floor")).alias("floor"), (F.col("taint") | F.col("s_taint")).alias("taint"))
-        known = cut(known.unionByName(new))
+    values = ["vty", "floor", "taint"]
+    told = {"vty": F.col("w_vty") + F.col("vty"), "floor": F.col("w_floor") + F.col("floor"), "taint": F.col("w_taint") | F.col("taint")}
+    settle = {c: F.col(f"own_{c}") | F.col(c) if c == "taint" else F.col(f"own_{c}") + F.col(c) for c in values}
+    known = fold_up(ends, steps, values, told, {"vty": F.sum, "floor": F.sum, "taint": F.bool_or}, settle)
     along = way.join(known.withColumnRenamed("v", "end"), "end").select(
         "v", (F.col("w_vty") + F.col("vty")).alias("vty"), (F.col("w_floor") + F.col("floor")).alias("floor"), (F.col("w_taint") | F.col("taint")).alias("taint")
     )
@@ -332,3 +456,42 @@ def dividends(eps: DataFrame, comps: DataFrame, folds: DataFrame) -> DataFrame:
         round6(gap / LN2).alias("dividend_log2"),
         F.col("taint").alias("fallback"),
     )
+
+
+class Graph:
+    """Nodes and edges with what the queries over them share, each worked out once, when it is asked for."""
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame):
+        self.nodes, self.pairs = nodes, cut(adjacency(edges))
+
+    @cached_property
+    def comps(self) -> DataFrame:
+        return components(everything(self.nodes, self.pairs), self.pairs)
+
+    @cached_property
+    def condensed(self) -> DataFrame:
+        return condense(self.pairs, self.comps)
+
+    @cached_property
+    def packed(self) -> Packed:
+        return packed_reach(self.nodes, self.comps, self.condensed)
+
+    @cached_property
+    def folds(self) -> DataFrame:
+        return cut(variety(component_terms(self.nodes, self.comps), self.condensed))
+
+    def metrics(self) -> DataFrame:
+        return ep_metrics(self.nodes, self.pairs, self.comps, self.packed)
+
+    def rows(self) -> DataFrame:
+        return ep_rows(self.nodes, self.pairs, self.comps, self.condensed, self.packed, self.folds)
+
+    def dividends(self) -> DataFrame:
+        return dividends(self.nodes.where("entrypoint"), self.comps, self.folds)
+
+    def blast(self) -> DataFrame:
+        return blast(self.nodes, self.comps, self.packed)
+
+    def callers_of(self, symbols: DataFrame) -> DataFrame:
+        """symbol: everything that reaches any of ``symbols(symbol)``, those included."""
+        return spread(self.pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), symbols)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import band, round6
+from . import selection
 
 
 def resolve_names(scores: DataFrame, names: DataFrame) -> DataFrame:
@@ -40,9 +44,33 @@ def band_histogram(rows: DataFrame, value: str) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Median (mean of the two middles) and nearest-rank percentiles by group."""
-    rank = {f"p{p}": F.expr(f"percentile_disc({p / 100}) within group (order by {value})") for p in (50, 75, 90, 95, 99)}
-    return rows.groupBy(key).agg(F.median(value).alias("med"), *(c.alias(k) for k, c in rank.items()), F.max(value).alias("most"))
+    """Median (mean of the two middles) and nearest-rank percentiles by group, whatever its size."""
+    most = rows.groupBy(key).agg(F.max(value).alias("most"))
+    found = selection.percentiles(rows, [key], value, {f"p{p}": p / 100 for p in (50, 75, 90, 95, 99)}, "med").withColumnRenamed(key, "_key")
+    return most.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
+def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, n, med: how many rows a group has and the median of their values, at six places; null where all are."""
+    n = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    found = selection.percentiles(rows, keys, value, {}, "med").withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return n.join(found, same, "left").select(*keys, "n", round6(F.col("med")).alias("med"))
+
+
+def capped_share(rows: DataFrame, key: str, capped: Column, value: str, least: float) -> DataFrame:
+    """key, share of the group's rows that are capped, at_cap: the median of their values where the share is ``least`` or more."""
+    held = rows.select(key, F.coalesce(capped, F.lit(False)).alias("_capped"), F.col(value).alias("_v"))
+    share = held.groupBy(key).agg((F.count_if("_capped") / F.count("*")).alias("s"))
+    med = medians(held.where("_capped"), [key], "_v").select(F.col(key).alias("_key"), "med")
+    return share.join(med, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, round6(F.col("s")).alias("share"), F.when(F.col("s") >= least, F.col("med")).alias("at_cap"))
+
+
+def distribution(rows: DataFrame, value: str) -> DataFrame:
+    """One row: most, p90, med and mean of a column of all rows."""
+    found = selection.percentiles(rows, [], value, {"p90": 0.9}, "med")
+    both = rows.agg(F.max(value).alias("most"), round6(F.avg(value)).alias("mean")).join(found, F.lit(True), "left")  # one row each
+    return both.select("most", F.col("p90").cast("double").alias("p90"), F.col("med").cast("double").alias("med"), "mean")
 
 
 def top_by_group(rows: DataFrame, key: str, value: str, tie: str, top: int) -> DataFrame:

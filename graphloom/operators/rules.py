@@ -41,6 +41,22 @@ def complexity_ratchet(delta: DataFrame, scopes: dict[str, float]) -> DataFrame:
     return every.join(found, "scope", "left").select("scope", net.alias("net"), "budget", (net > F.col("budget")).alias("breached"))
 
 
+def entrypoint_ratchet(changes: DataFrame, budgets: dict[str, float]) -> DataFrame:
+    """scope, budget, verdict, observed: each matched entrypoint's change of branching, at 3 places, against the budget of its pattern.
+
+    ``changes`` has ep and delta_branching_log2. Strictly above is a breach, anything else a pass. A pattern that matches no entrypoint is one row:
+    a breach at 0 if its budget is negative, else no_match. A name itself is tried before its globs.
+    """
+    hits = F.array_compact(F.array(*(F.when(glob_match(F.col("ep"), [p], path=False), F.struct(F.lit(p).alias("pattern"), F.lit(float(b)).alias("budget"))) for p, b in budgets.items())))
+    net = F.round("delta_branching_log2", 3)
+    found = changes.select("ep", net.alias("net"), F.explode(hits).alias("h")).select(F.col("ep").alias("scope"), "h.pattern", "h.budget", F.when(F.col("net") > F.col("h.budget"), "breach").otherwise("pass").alias("verdict"), F.col("net").alias("observed"))
+    every = changes.sparkSession.createDataFrame([(p, float(b)) for p, b in budgets.items()], "pattern string, budget double")
+    none = every.join(found.select("pattern").distinct(), "pattern", "left_anti")
+    lost = F.col("budget") < 0
+    empty = none.select(F.col("pattern").alias("scope"), "pattern", "budget", F.when(lost, "breach").otherwise("no_match").alias("verdict"), F.when(lost, F.lit(0.0)).alias("observed"))
+    return found.unionByName(empty).drop("pattern")
+
+
 def node_todo(nodes: DataFrame, todo: DataFrame, threshold_log2: float = 5.0) -> DataFrame:
     """file, symbol, outcome: finding, skipped, refired or healed, against recorded milli-log2 values."""
     value = milli(round6(log2_branches(F.col("branches"))))

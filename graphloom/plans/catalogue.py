@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,36 +71,11 @@ def _metrics(r: str, n: str, e: str) -> str:
 # ---------------------------------------------------------------- shared frames
 
 
-class Graph:
-    """A view's nodes and edges, with what the graph queries share, each made once."""
+class Graph(graph.Graph):
+    """The graph of a view's nodes and edges."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, nodes: str, edges: str):
-        self.nodes, self.pairs = view(spark, sf_dir, nodes), cut(graph.adjacency(view(spark, sf_dir, edges)))
-
-    @cached_property
-    def comps(self) -> DataFrame:
-        return graph.components(graph.everything(self.nodes, self.pairs), self.pairs)
-
-    @cached_property
-    def condensed(self) -> DataFrame:
-        return graph.condense(self.pairs, self.comps)
-
-    @cached_property
-    def reached(self) -> DataFrame:
-        return graph.comp_reach(self.nodes, self.comps, self.condensed)
-
-    @cached_property
-    def folds(self) -> DataFrame:
-        return cut(graph.variety(graph.component_terms(self.nodes, self.comps), self.condensed))
-
-    def metrics(self) -> DataFrame:
-        return graph.ep_metrics(self.nodes, self.pairs, self.comps, self.reached)
-
-    def dividends(self) -> DataFrame:
-        return graph.dividends(self.nodes.where("entrypoint"), self.comps, self.folds)
-
-    def blast(self) -> DataFrame:
-        return graph.blast(self.nodes, self.comps, self.reached)
+        super().__init__(view(spark, sf_dir, nodes), view(spark, sf_dir, edges))
 
 
 def _pc(spark: SparkSession, sf_dir: str) -> Graph:
@@ -363,7 +336,7 @@ def agg_08_percentiles(spark, sf_dir):
 
 @query(f"WITH {ctes('fx_prs')} SELECT max_log2 > 5.0 AS flagged, count(*) AS n, round(median(latency), 6) AS med FROM fx_prs GROUP BY 1")
 def bt_1_flagged_latency(spark, sf_dir):
-    return view(spark, sf_dir, "fx_prs").groupBy((F.col("max_log2") > 5.0).alias("flagged")).agg(F.count("*").alias("n"), round6(F.median("latency")).alias("med"))
+    return report.medians(view(spark, sf_dir, "fx_prs").withColumn("flagged", F.col("max_log2") > 5.0), ["flagged"], "latency")
 
 
 @query(f"WITH {_SCORES} SELECT quadrant, symbol, score, nth FROM (SELECT *, row_number() OVER (PARTITION BY quadrant ORDER BY score DESC NULLS LAST, symbol) AS nth FROM fx_scores) WHERE nth <= 10")

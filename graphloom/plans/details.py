@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import band, round6
-from ..operators import details, rules
+from ..operators import details, report, rules
 from ..sources.views import ctes, view
 from .registry import query
 
@@ -102,6 +102,4 @@ def rep_04_band_sums(spark, sf_dir):
 
 @query(f"WITH {ctes('fx_scores')}, c AS (SELECT class_id, count(*) FILTER (score >= 4) / count(*) AS share, median(branches) FILTER (score >= 4) AS med FROM fx_scores GROUP BY class_id) SELECT class_id, round(share, 6) AS share, CASE WHEN share >= 0.1 THEN round(med, 6) END AS at_cap FROM c")
 def rep_02_capped_share(spark, sf_dir):
-    high = F.coalesce(F.col("score") >= 4, F.lit(False))
-    c = view(spark, sf_dir, "fx_scores").groupBy("class_id").agg((F.count_if(high) / F.count("*")).alias("s"), F.median(F.when(high, F.col("branches"))).alias("med"))
-    return c.select("class_id", round6(F.col("s")).alias("share"), F.when(F.col("s") >= 0.1, round6(F.col("med"))).alias("at_cap"))
+    return report.capped_share(view(spark, sf_dir, "fx_scores"), "class_id", F.col("score") >= 4, "branches", 0.1)

@@ -109,7 +109,7 @@ def gra_09_union_reach(spark, sf_dir):
 @query(f"WITH RECURSIVE {_PL}, {_reach('pl_nodes', 'pl_edges')} SELECT ep, nth, symbol, round({_LOG.format(c='branches')}, 6) AS log2 FROM (SELECT r.ep, n.symbol, n.branches, row_number() OVER (PARTITION BY r.ep ORDER BY n.branches DESC, n.file, n.symbol) AS nth FROM reached r JOIN pl_nodes n ON n.symbol = r.v WHERE n.branches >= 1) WHERE nth <= 5")
 def gra_11_top_nodes(spark, sf_dir):
     g = _pl(spark, sf_dir)
-    return graph.top_nodes(g.nodes, g.comps, g.reached)
+    return graph.top_nodes(g.nodes, g.comps, g.packed)
 
 
 @query(f"WITH RECURSIVE {_PL}, {_reach('pl_nodes', 'pl_edges')} SELECT ep FROM reached WHERE v = (SELECT max(symbol) FROM pl_nodes)")
@@ -122,8 +122,7 @@ def gra_22_eps_reaching(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_PL}, {_reach('pl_nodes', 'pl_edges')}, b AS (SELECT v, count(*) AS blast FROM reached JOIN pl_nodes ON symbol = v GROUP BY v) SELECT CAST(max(blast) AS BIGINT) AS most, CAST(quantile_disc(blast, 0.9) AS DOUBLE) AS p90, CAST(median(blast) AS DOUBLE) AS med, round(avg(blast), 6) AS mean FROM b")
 def gra_23_blast_block(spark, sf_dir):
-    b = _pl(spark, sf_dir).blast().where("blast > 0")
-    return b.agg(F.max("blast").alias("most"), F.expr("percentile_disc(0.9) within group (order by blast)").cast("double").alias("p90"), F.median("blast").alias("med"), round6(F.avg("blast")).alias("mean"))
+    return report.distribution(_pl(spark, sf_dir).blast().where("blast > 0"), "blast")
 
 
 @query(f"WITH RECURSIVE {_PL}, {_reach('pl_nodes', 'pl_edges')} SELECT (SELECT count(DISTINCT v) FROM reached JOIN pl_nodes ON symbol = v) AS forward, (SELECT count(*) FROM pl_nodes) AS total, (SELECT count(*) FROM pl_nodes WHERE NOT escapes) AS scored")

@@ -177,7 +177,7 @@ def dif_07_coupling_flips(spark, sf_dir):
 def ord_05_contributors(spark, sf_dir):
     base, head = _graphs(spark, sf_dir)
     rows = delta.node_delta(base.nodes, head.nodes).where("classification <> 'REMOVED'")
-    return delta.contributors(cut(rows), head.nodes.where("entrypoint"), head.comps, head.reached)
+    return delta.contributors(cut(rows), head.comps, head.packed)
 
 
 @query(f"{_REC}, met AS (SELECT n.file, n.symbol IN (SELECT v FROM base_reach) AS seen FROM base_nodes n UNION ALL SELECT n.file, n.symbol IN (SELECT v FROM head_reach) FROM head_nodes n) SELECT file FROM met GROUP BY file HAVING NOT bool_or(seen)")
