@@ -38,17 +38,19 @@ class Encoder:
     white space, whatever stands around them; its texts are cut there, and each distinct word is encoded
     once and remembered. A word of Latin letters with signs behind it goes to the tokenizer's model at once, since
     only its letters and its signs can be one unit each; all others, and texts for any other file, go through
-    the whole tokenizer. Strings of special tokens in a text are ordinary text.
+    the whole tokenizer. So do texts in which the string of a special token stands: it is that token, as for the file as it loads.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
-            self.cuts = _starts_words_at_spaces(json.load(f))
+            spec = json.load(f)
+        self.cuts = _starts_words_at_spaces(spec)
+        marks = [re.escape(t["content"]) for t in spec["added_tokens"]]
+        self.marks = re.compile("|".join(marks)) if marks else None
         self.known: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
 
@@ -75,6 +77,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self._encode(texts)
+        if self.marks:
+            marked = [k for k, x in enumerate(texts) if self.marks.search(x)]
+            if marked:
+                whole = dict(zip(marked, self._encode([texts[k] for k in marked])))
+                plain = iter(self.encode([x for k, x in enumerate(texts) if k not in whole]))
+                return [whole[k] if k in whole else next(plain) for k in range(len(texts))]
         known = self.known
         for cache in (known, self.units):
             if len(cache) > _CACHE:

@@ -212,7 +212,6 @@ def test_embeddings_against_brute_force_in_64_dimensions(spark):
 def test_packing(spark, texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
     packed = packing.pack(documents(spark, [*texts, (107, "long text. " * 3000)]), path)
     assert dict(packed.dtypes) == {"piece": "int", **dict.fromkeys(("doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"), "bigint")}
     rows = packed.collect()
