@@ -49,26 +49,29 @@ def reach(pairs: DataFrame, sources: DataFrame, max_rounds: int = 100_000) -> Da
 def jump(links: DataFrame, sums: tuple[str, ...] = (), ends: tuple[str, ...] = ()) -> DataFrame:
     """Follow ``links(v, to, ...)``, one for each v, to the first end that has no link: v, to, least, sums and ends added up.
 
-    Rows double their way each round. On a cycle of links no end comes; after enough rounds for a way through all
-    links such rows keep a ``to`` that has a link, and ``least`` is the smallest member of the cycle.
+    Rows double their way each round. On a cycle of links no end comes: such rows keep a ``to`` that has a link, and ``least`` is the smallest
+    member of the cycle. A round in which as many rows move as before moves cycles alone, since of a way with an end fewer rows move
+    each time; once no ``least`` falls in such a round either, every cycle has been gone around.
     ``ends`` are bool columns that hold if they hold anywhere on the way.
     """
-    now, n = cut_counting(links.withColumn("least", F.col("v")))
-    rounds = max(1, n).bit_length() + 1 if n else 0
+    now, before = cut_counting(links.withColumn("least", F.col("v")))
+    rounds = max(1, before).bit_length() + 1 if before else 0
     for _ in range(rounds):
         nxt = now.select(F.col("v").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"), *(F.col(c).alias(f"_{c}") for c in (*sums, *ends)))
         both = now.join(nxt, "to", "left")
+        least = F.least("least", F.coalesce("_least", "least"))
         more, moved = cut_counting(
             both.select(
-                "v", F.coalesce("_to", "to").alias("to"), F.least("least", F.coalesce("_least", "least")).alias("least"),
+                "v", F.coalesce("_to", "to").alias("to"), least.alias("least"),
                 *((F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in sums),
-                *((F.col(c) | F.coalesce(F.col(f"_{c}"), F.lit(False))).alias(c) for c in ends), F.col("_to").isNotNull().alias("_moved"),
+                *((F.col(c) | F.coalesce(F.col(f"_{c}"), F.lit(False))).alias(c) for c in ends), F.col("_to").isNotNull().alias("_moved"), (least < F.col("least")).alias("_fell"),
             ),
             F.col("_moved"),
         )
-        now = more.drop("_moved")
-        if not moved:
+        now = more.drop("_moved", "_fell")
+        if not moved or moved == before and more.where("_moved and _fell").isEmpty():
             break
+        before = moved
     return now
 
 

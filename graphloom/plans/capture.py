@@ -21,19 +21,19 @@ def cap_13_bindings(spark, sf_dir):
     return capture.bindings(view(spark, sf_dir, "cp_writes"))
 
 
-@query(_FOLD + "SELECT w.scope || w.name || w.pos AS site_id, st.fq FROM cp_writes w LEFT JOIN st ON st.scope = w.scope AND st.name = w.name AND st.pos = w.pos - 1 WHERE w.pos % 3 <> 2")
+@query(_FOLD + "SELECT w.scope || w.name || ':' || w.pos AS site_id, st.fq FROM cp_writes w LEFT JOIN st ON st.scope = w.scope AND st.name = w.name AND st.pos = w.pos - 1 WHERE w.pos % 3 <> 2")
 def cap_13_types_at(spark, sf_dir):
     w = view(spark, sf_dir, "cp_writes")
-    reads = w.where("pos % 3 <> 2").select(F.concat("scope", "name", F.col("pos").cast("string")).alias("site_id"), "scope", "name", "pos")
+    reads = w.where("pos % 3 <> 2").select(F.concat("scope", "name", F.lit(":"), F.col("pos").cast("string")).alias("site_id"), "scope", "name", "pos")
     return capture.types_at(reads, capture.bindings(w)).select("site_id", "fq")
 
 
-@query(_FOLD + ", r AS (SELECT w.scope || w.pos AS site_id, w.name, st.fq FROM cp_writes w LEFT JOIN st ON st.scope = w.scope AND st.name = w.name AND st.pos = w.pos - 1 WHERE w.pos % 3 <> 2) "
+@query(_FOLD + ", r AS (SELECT w.scope || ':' || w.pos AS site_id, w.name, st.fq FROM cp_writes w LEFT JOIN st ON st.scope = w.scope AND st.name = w.name AND st.pos = w.pos - 1 WHERE w.pos % 3 <> 2) "
        "SELECT site_id, first(fq ORDER BY name) AS fq FROM r WHERE fq IS NOT NULL GROUP BY site_id")
 def cap_13_receivers(spark, sf_dir):
     """v0 stands for local variables, v1 for instance variables, v2 for accessors of one place."""
     w = view(spark, sf_dir, "cp_writes")
-    reads = w.where("pos % 3 <> 2").select(F.concat("scope", F.col("pos").cast("string")).alias("site_id"), "scope", "name", "pos")
+    reads = w.where("pos % 3 <> 2").select(F.concat_ws(":", "scope", F.col("pos").cast("string")).alias("site_id"), "scope", "name", "pos")
     known = capture.types_at(reads, capture.bindings(w))
     return capture.receivers(*(known.where(F.col("name") == n).select("site_id", "fq") for n in ("v0", "v1", "v2")))
 
