@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import delta, graph, report, rules
+from ..operators import delta, details, graph, replay, report, resolve, rules
 from ..sources.views import ctes, view
 from ..storage import cut
 from . import catalogue
@@ -244,3 +244,70 @@ def rul_33_mixed_touched_above_limit(spark, sf_dir):
         found = graph.spread(g.pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), rows.select("symbol").distinct())
         up = found if up is None else up.union(found)
     return head.metrics().where("max_cone_node_log2 > 5.0").join(up.withColumnRenamed("symbol", "ep"), "ep", "left_semi").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- joins and rules on input where every case occurs
+
+_MXN = ctes("mx_nodes", "mxb_nodes", "mxh_nodes")
+_K = "CAST(substr(symbol, 2) AS BIGINT)"
+
+
+@query(f"WITH {_MXN} SELECT h.symbol, CASE WHEN b.symbol IS NULL OR {_K.replace('symbol', 'h.symbol')} % 4 > 1 THEN h.branches WHEN {_K.replace('symbol', 'h.symbol')} % 4 = 1 THEN b.branches + 100 END AS branches FROM mxh_nodes h LEFT JOIN mxb_nodes b ON b.symbol = h.symbol")
+def join_08_carried_between_snapshots(spark, sf_dir):
+    """Symbols that are new have nothing to carry; a carried null wins; a key that the earlier row did not have leaves the value."""
+    base, head = (view(spark, sf_dir, n).withColumn("k", F.expr(_K)) for n in ("mxb_nodes", "mxh_nodes"))
+    keys = F.when(F.col("k") % 4 <= 1, F.array(F.lit("branches"))).otherwise(F.array().cast("array<string>"))
+    before = base.select("symbol", F.when(F.col("k") % 4 == 1, F.col("branches") + 100).alias("branches"), keys.alias("keys_present"))
+    return details.carried(head.select("symbol", "branches"), before, "symbol", ["branches"])
+
+
+@query(f"WITH {_MXN}, ids AS (SELECT file, symbol, 'n_' || symbol || file AS id FROM mxb_nodes UNION ALL SELECT 'copy', symbol, 'n_copy' || symbol FROM mxb_nodes WHERE {_K} % 3 = 0), "
+       f"wanted AS (SELECT CASE WHEN {_K} % 2 = 0 THEN 'elsewhere' ELSE file END AS file, symbol FROM mxh_nodes) "
+       "SELECT w.file, w.symbol, coalesce(x.id, CASE WHEN n.n = 1 THEN n.id END) AS id, x.id IS NULL AND coalesce(n.n, 0) > 1 AS ambiguous FROM wanted w LEFT JOIN ids x ON x.file = w.file AND x.symbol = w.symbol LEFT JOIN (SELECT symbol, count(*) AS n, min(id) AS id FROM ids GROUP BY symbol) n ON n.symbol = w.symbol")
+def join_09_ambiguous_symbols(spark, sf_dir):
+    base, head = (view(spark, sf_dir, n).withColumn("k", F.expr(_K)) for n in ("mxb_nodes", "mxh_nodes"))
+    ids = base.select("file", "symbol", F.concat(F.lit("n_"), "symbol", "file").alias("id")).unionByName(base.where("k % 3 = 0").select(F.lit("copy").alias("file"), "symbol", F.concat(F.lit("n_copy"), "symbol").alias("id")))
+    wanted = head.select(F.when(F.col("k") % 2 == 0, "elsewhere").otherwise(F.col("file")).alias("file"), "symbol")
+    return resolve.symbol_ids(wanted, ids).select("file", "symbol", "id", "ambiguous")
+
+
+@query(f"WITH {_MXN}, h AS (SELECT 'b' AS side, file, sha256(string_agg(symbol || ':' || branches, ',' ORDER BY symbol)) AS hash FROM mxb_nodes GROUP BY file UNION ALL SELECT 'h', file, sha256(string_agg(symbol || ':' || branches, ',' ORDER BY symbol)) FROM mxh_nodes GROUP BY file), "
+       "t(name, l, r) AS (VALUES ('same', 'b', 'b'), ('changed', 'b', 'h')) SELECT name, (SELECT coalesce(bool_and(coalesce(x.hash = y.hash, false)), true) FROM (SELECT * FROM h WHERE side = t.l) x FULL JOIN (SELECT * FROM h WHERE side = t.r) y ON x.file = y.file) AS fresh FROM t")
+def inc_03_freshness_of_snapshots(spark, sf_dir):
+    def hashes(name):
+        rows = view(spark, sf_dir, name).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("symbol", "branches"))).alias("s"))  # the nodes of one file
+        text = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x.symbol, x.branches.cast("string"))), ",")
+        return cut(rows.select("file", F.sha2(text, 256).alias("hash")))
+
+    base, head = hashes("mxb_nodes"), hashes("mxh_nodes")
+    named = lambda df, name: df.select(F.lit(name).alias("name"), "fresh")
+    return named(details.is_fresh(base, base), "same").unionByName(named(details.is_fresh(base, head), "changed"))
+
+
+@query(f"WITH {_MXN}, have AS (SELECT bool_or(outcome_arity IS NOT NULL) AS arity, bool_or(escapes IS NOT NULL) AS escapes, bool_or(CASE WHEN branches < 0 THEN branches END IS NOT NULL) AS score FROM mx_nodes) "
+       "SELECT 'UseCaseDividend' AS rule, 'no arity' AS reason FROM have WHERE NOT arity UNION ALL SELECT 'FirewallBreaches', 'no escapes' FROM have WHERE NOT escapes UNION ALL SELECT 'ReusabilityScore', 'no score' FROM have WHERE NOT coalesce(score, false)")
+def rul_23_not_evaluable_columns(spark, sf_dir):
+    """A column that is there but has no value counts as missing."""
+    n = view(spark, sf_dir, "mx_nodes").withColumn("score", F.when(F.col("branches") < 0, F.col("branches")))
+    return rules.not_evaluable(n, {"UseCaseDividend": ("outcome_arity", "no arity"), "FirewallBreaches": ("escapes", "no escapes"), "ReusabilityScore": ("score", "no score")})
+
+
+@query(_MX + ", x AS (SELECT n.symbol, n.branches, n.outcome_arity, n.escapes, n.toll_booth, count(r.ep) AS blast, CASE WHEN n.toll_booth THEN coalesce(max(o.calls), 0) ELSE 0 END AS savings FROM mx_nodes n LEFT JOIN reach r ON r.v = n.symbol LEFT JOIN outs o ON o.v = n.symbol GROUP BY n.symbol, n.branches, n.outcome_arity, n.escapes, n.toll_booth), "
+       "g AS (SELECT *, greatest(0.0, greatest(0.0, log2(branches / greatest(coalesce(outcome_arity, 1), 1))) - 1.0) AS own FROM x), "
+       "m AS (SELECT *, CASE WHEN escapes THEN greatest(own, 1.0) ELSE own END * (1 + log2(1.0 + blast) / 4.0) AS neg, CASE WHEN toll_booth THEN log2(1.0 + savings) ELSE 0.0 END AS pos FROM g) "
+       "SELECT symbol, blast, round(CASE WHEN neg > 0 THEN -5 * (1 - exp(-neg / 8.0)) WHEN pos > 0 THEN 5 * (1 - exp(-pos / 3.0)) ELSE 0.0 END, 6) AS score FROM m")
+def gra_25_reusability_of_the_graph(spark, sf_dir):
+    """The score from the blast radius that the graph has; what a toll booth saves is taken to be its calls."""
+    g = _mx(spark, sf_dir)
+    calls = g.pairs.groupBy(F.col("a").alias("symbol")).agg(F.sum("calls").alias("calls"))
+    rows = g.nodes.join(g.blast(), "symbol").join(calls, "symbol", "left").withColumn("mass_savings", F.coalesce("calls", F.lit(0)))
+    return details.reusability(rows).select("symbol", "blast", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {ctes('mxb_nodes', 'mxh_nodes', 'sw_parts')}, f AS (SELECT pair AS change, 'M' || CAST(CAST(floor((p - 1) / 8) AS BIGINT) AS VARCHAR) AS file FROM sw_parts WHERE n <= 2), "
+       f"a AS (SELECT change, round(max({_log('b.branches')}), 6) AS l FROM f LEFT JOIN mxb_nodes b ON b.file = f.file GROUP BY change), z AS (SELECT change, round(max({_log('b.branches')}), 6) AS l FROM f LEFT JOIN mxh_nodes b ON b.file = f.file GROUP BY change) "
+       "SELECT a.change, a.l AS found, z.l AS stored, (a.l IS NULL AND z.l IS NULL) OR coalesce(abs(a.l - z.l) <= 0.005, false) AS agrees FROM a JOIN z ON z.change = a.change".replace("max(CASE WHEN b.branches >= 1 THEN log2(CAST(b.branches AS DOUBLE)) ELSE 0.0 END)", "max(CASE WHEN b.branches >= 1 THEN log2(CAST(b.branches AS DOUBLE)) WHEN b.symbol IS NOT NULL THEN 0.0 END)"))
+def bt_0_values_of_two_snapshots(spark, sf_dir):
+    """What is worked out from one snapshot against what another one has: agreements and disagreements."""
+    files = view(spark, sf_dir, "sw_parts").where("n <= 2").select(F.col("pair").alias("change"), F.expr("'M' || CAST(CAST(floor((p - 1) / 8) AS BIGINT) AS STRING)").alias("file"))
+    return replay.agrees(*(replay.largest_touched(files, view(spark, sf_dir, n)) for n in ("mxb_nodes", "mxh_nodes")))
