@@ -49,8 +49,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.cuts = _starts_words_at_spaces(spec)
-        marks = [re.escape(t["content"]) for t in spec["added_tokens"]]
-        self.marks = re.compile("|".join(marks)) if marks else None
+        self.marks = [t["content"] for t in spec["added_tokens"]]
         self.known: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
 
@@ -77,12 +76,11 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self._encode(texts)
-        if self.marks:
-            marked = [k for k, x in enumerate(texts) if self.marks.search(x)]
-            if marked:
-                whole = dict(zip(marked, self._encode([texts[k] for k in marked])))
-                plain = iter(self.encode([x for k, x in enumerate(texts) if k not in whole]))
-                return [whole[k] if k in whole else next(plain) for k in range(len(texts))]
+        marked = [k for k, x in enumerate(texts) if any(m in x for m in self.marks)]
+        if marked:
+            whole = dict(zip(marked, self._encode([texts[k] for k in marked])))
+            plain = iter(self.encode([x for k, x in enumerate(texts) if k not in whole]))
+            return [whole[k] if k in whole else next(plain) for k in range(len(texts))]
         known = self.known
         for cache in (known, self.units):
             if len(cache) > _CACHE:
