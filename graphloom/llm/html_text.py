@@ -29,7 +29,7 @@ _ATTR = re.compile(r"([^\s=\"'<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp", "template"}
 _RAW_END = {name: re.compile(rf"</{name}\b", re.I) for name in _RAW}
 _OUT = _RAW | {
-    "nav", "footer", "aside", "form", "select", "option", "input", "dialog", "menu", "svg", "canvas", "object", "embed",
+    "nav", "footer", "aside", "select", "option", "input", "dialog", "menu", "svg", "canvas", "object", "embed",
     "audio", "video", "head",
 }
 _CONTROLS = {"label", "button"}  # part of the text inside a block of prose, part of a form elsewhere
@@ -38,7 +38,7 @@ _BLOCK = {
     "html", "body", "div", "p", "section", "article", "main", "header", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol",
     "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre",
     "figure", "figcaption", "address", "center", "details", "summary", "hgroup", "search", "fieldset", "legend",
-} | _OUT | _CONTROLS
+} | _OUT | _CONTROLS | {"form"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _TEXTUAL = {"p", "li", "dt", "dd", "td", "th", "caption", "blockquote", "pre", "figcaption", "summary", "address", "legend", *_HEADINGS}
 _ENDS_P = _BLOCK - {"html", "body", "input", "option", "select"} | {"hr"}
@@ -57,6 +57,14 @@ _NAMES = _COMMENTS | {
     "widgets", "pagination", "pager", "toolbar", "skip",
 }
 _STEMS = ("advert", "sponsor", "promo", "subscri", "sidebar")
+#: words that stand beside these in the names of layout; a name with any other word may be about the text's subject
+_BESIDE = {
+    "accept", "also", "area", "article", "articles", "author", "bar", "block", "blocks", "body", "bottom", "box", "button", "buttons", "call", "card", "cards", "col", "column", "component", "container",
+    "content", "count", "cta", "dark", "desktop", "dialog", "email", "entry", "fixed", "floating", "fluid", "follow", "form", "global", "grid", "group", "header", "heading", "holder", "icon", "icons", "info",
+    "inline", "inner", "item", "items", "js", "left", "light", "like", "link", "links", "list", "lists", "local", "mail", "main", "may", "media", "message", "meta", "mobile", "module", "more", "news", "next",
+    "outer", "overlay", "page", "panel", "policy", "post", "posts", "prev", "previous", "primary", "privacy", "read", "reader", "readers", "region", "reply", "right", "row", "secondary", "section", "site",
+    "slot", "sticky", "stories", "story", "sub", "text", "this", "thread", "title", "tool", "tools", "top", "trail", "unit", "us", "user", "users", "visitor", "wp", "wrap", "wrapper", "you", "zone",
+}
 _OF_TEXT = {"post", "article", "entry", "content", "story", "page", "section", "blog", "chapter"}
 _PROSE = {"article", "main"}
 
@@ -82,17 +90,21 @@ class Node:
 
 
 def _named(names: str, prose: bool) -> str:
-    """What a class or id says of an element: out, comments, header (of a text), or nothing."""
+    """What a class or id says of an element: out, comments, header (of a text), or nothing; with a ? where, inside an article, the name has words
+    that are none of layout: side-effects, social-history."""
     said = ""
     for name in names.split():
         parts = [p.lower() for p in _PART.findall(name)]
         if not parts or parts[0] in _ABOUT:
             continue
+        sure = not prose or all(p in _NAMES or p in _BESIDE or len(p) == 1 or p.isdigit() or p.startswith(_STEMS) for p in parts)
         if not _COMMENTS.isdisjoint(parts):
-            return "comments"
-        if not _NAMES.isdisjoint(parts) or any(p.startswith(_STEMS) for p in parts):
-            said = "out"
-        elif parts[-1] == "header" and not said:
+            if sure:
+                return "comments"
+            said = said or "comments?"
+        elif not _NAMES.isdisjoint(parts) or any(p.startswith(_STEMS) for p in parts):
+            said = "out" if sure else said or "out?"
+        elif parts[-1] == "header" and not said.strip("?"):
             said = "header" if prose or (len(parts) > 1 and parts[0] in _OF_TEXT) else "out"
     return said
 
@@ -185,6 +197,8 @@ def parse(page: str) -> Node:
             child.header |= name == "header"
             if name not in ("html", "body", *_PROSE) and name not in _HEADINGS and (child.look or "id" in attrs):
                 child.doubt = _named(child.look + " " + attrs.get("id", ""), node.prose)
+            if name == "form":
+                child.doubt = "form"
         if not m["attrs"].rstrip().endswith("/"):
             node = child
             open_[name] = open_.get(name, 0) + 1
@@ -239,17 +253,31 @@ def _weigh(blocks: list, order: list) -> None:
 
 
 def _doubtful(order: list) -> bool:
-    """Drop the containers that their names give away; True if there were any."""
+    """Drop the containers that their names give away, and forms; True if there were any.
+
+    A form around most of a page that holds its article, or paragraphs, is the page's own and stays. Where a name is in doubt, a part with a heading or
+    80 characters that are no links stays.
+    """
     held: dict[int, float] = {}
     titled: dict[int, bool] = {}
+    headed: dict[int, bool] = {}
+    prose: dict[int, int] = {}
     for x in reversed(order):
         held[id(x)] = x.points + sum(held[id(k)] for k in x.kids if isinstance(k, Node))
         titled[id(x)] = x.name in ("h1", "main") or any(titled[id(k)] for k in x.kids if isinstance(k, Node))
+        headed[id(x)] = x.name in _HEADINGS or any(headed[id(k)] for k in x.kids if isinstance(k, Node))
+        prose[id(x)] = (2 if x.weight else x.name == "p" and x.chars >= 80) + sum(prose[id(k)] for k in x.kids if isinstance(k, Node))
     some, most = False, 0.5 * held[id(order[0])]
     for x in order:
         if x.up is not None:
             x.out, x.header = x.up.out, x.header or x.up.header
-        if x.doubt == "comments" and not titled[id(x)] or x.doubt == "out" and held[id(x)] <= most:
+        if x.doubt == "form":
+            if not (held[id(x)] > most and (titled[id(x)] or prose[id(x)] > 1)):
+                x.out = some = True
+        elif x.doubt.endswith("?"):
+            if x.linked >= 0.25 * x.chars or not (headed[id(x)] or x.chars >= 80):
+                x.out = some = True
+        elif x.doubt == "comments" and not titled[id(x)] or x.doubt == "out" and held[id(x)] <= most:
             x.out = some = True
         elif x.doubt == "header" and held[id(x)] <= most:
             x.header = some = True
