@@ -5,7 +5,7 @@ import functools
 import duckdb
 import pytest
 
-from graphloom.plans import ORACLE_SQL, QUERIES, catalogue
+from graphloom.plans import ORACLE_SQL, QUERIES, catalogue, sweeps
 from graphloom.sources.views import TABLES
 
 DIR = "/root/testdata/sf0.001"
@@ -13,9 +13,10 @@ DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module", autouse=True)
 def shared_graphs():
-    """Queries over one view share its components here, to save time; each query makes its own otherwise."""
+    """Queries over one view share its components here, and those over all pairs their sweep, to save time; each query makes its own otherwise."""
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(catalogue, "Graph", functools.cache(catalogue.Graph))
+        patch.setattr(sweeps, "_swept", functools.cache(sweeps._swept))
         yield
 
 
