@@ -45,6 +45,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words = Tokenizer.from_file(path)  # for texts and words in which no special token stands: it need not look for any
+        self.words.encode_special_tokens = True
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -53,8 +55,8 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _encode(self, texts: list[str], whole: bool = False) -> list[bytes]:
+        found = (self.tokenizer if whole else self.words).encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
     def _unit(self, shown: str) -> bytes:
@@ -75,10 +77,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
-            return self._encode(texts)
+            return self._encode(texts, whole=True)
         marked = [k for k, x in enumerate(texts) if any(m in x for m in self.marks)]
         if marked:
-            whole = dict(zip(marked, self._encode([texts[k] for k in marked])))
+            whole = dict(zip(marked, self._encode([texts[k] for k in marked], whole=True)))
             plain = iter(self.encode([x for k, x in enumerate(texts) if k not in whole]))
             return [whole[k] if k in whole else next(plain) for k in range(len(texts))]
         known = self.known
