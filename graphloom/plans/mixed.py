@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import delta, details, graph, replay, report, resolve, rules
+from ..operators import delta, details, document, graph, replay, report, resolve, rules
 from ..sources.views import ctes, view
 from ..storage import cut
 from . import catalogue
@@ -311,3 +311,52 @@ def bt_0_values_of_two_snapshots(spark, sf_dir):
     """What is worked out from one snapshot against what another one has: agreements and disagreements."""
     files = view(spark, sf_dir, "sw_parts").where("n <= 2").select(F.col("pair").alias("change"), F.expr("'M' || CAST(CAST(floor((p - 1) / 8) AS BIGINT) AS STRING)").alias("file"))
     return replay.agrees(*(replay.largest_touched(files, view(spark, sf_dir, n)) for n in ("mxb_nodes", "mxh_nodes")))
+
+
+# ---------------------------------------------------------------- documents
+
+
+_DOCUMENT = (
+    _TWO + f", found AS (SELECT n.file, n.symbol, round({_log('n.branches')}, 6) AS value FROM mxh_nodes n JOIN delta d ON d.file = n.file AND d.symbol = n.symbol WHERE d.classification IN ('NEW', 'GROWN') AND round({_log('n.branches')}, 6) > 5.0), "
+    "changes AS (SELECT file, symbol, classification, delta_log2 FROM delta), "
+    "top_found AS (SELECT list(struct_pack(file := file, symbol := symbol, value := value) ORDER BY value DESC, file, symbol) AS l FROM found), "
+    "top_changes AS (SELECT list(struct_pack(file := file, symbol := symbol, classification := classification, delta_log2 := delta_log2) ORDER BY abs(delta_log2) DESC, file, symbol) AS l FROM changes) "
+)
+
+
+def _review(spark, sf_dir):
+    base, head = _two(spark, sf_dir)
+    d = _delta(base, head)
+    found = rules.exponential_node(head.nodes).join(d.where("classification IN ('NEW', 'GROWN')").select("file", "symbol"), ["file", "symbol"], "left_semi")
+    counts = d.agg(F.count("*").alias("changes"), F.count_if(F.col("classification") == "NEW").alias("new"), F.count_if(F.col("classification") == "REMOVED").alias("removed"))
+    surface = delta.review_surface(d, *(delta.Side(g.nodes, g.pairs, cut(g.blast())) for g in (base, head)))
+    return {
+        "summary": document.block(counts),
+        "findings": document.listed(found, [F.desc("value"), F.asc("file"), F.asc("symbol")], ["file", "symbol", "value"], 10),
+        "delta_top": document.listed(d, [F.desc(F.abs("delta_log2")), F.asc("file"), F.asc("symbol")], ["file", "symbol", "classification", "delta_log2"], 20),
+        "review_surface": document.block(surface),
+        "ratchet": None,  # no budget was set: the document has no such block
+    }
+
+
+@query(_DOCUMENT + "SELECT to_json(struct_pack(\"schema\" := 'review/1', delta_top := struct_pack(items := (SELECT l[1:20] FROM top_changes), more := greatest((SELECT count(*) FROM changes) - 20, 0)), "
+       "findings := struct_pack(items := (SELECT l[1:10] FROM top_found), more := greatest((SELECT count(*) FROM found) - 10, 0)), "
+       "review_surface := struct_pack(surface_union := (SELECT count(DISTINCT ep) FROM hits), surface_sum := (SELECT count(*) FROM hits), unreachable_touched := (SELECT count(*) FROM delta WHERE (file, symbol) NOT IN (SELECT (file, symbol) FROM hits))), "
+       "summary := (SELECT struct_pack(changes := count(*), \"new\" := count(*) FILTER (classification = 'NEW'), removed := count(*) FILTER (classification = 'REMOVED')) FROM delta)))::VARCHAR AS document")
+def snk_08_review_document(spark, sf_dir):
+    return document.assembled("review/1", _review(spark, sf_dir))
+
+
+@query(_DOCUMENT + "SELECT (SELECT array_to_string(list_transform(l[1:20], lambda x: '- ' || x.symbol || ' (' || x.file || '): ' || x.classification), chr(10)) FROM top_changes) || CASE WHEN (SELECT count(*) FROM changes) > 20 THEN chr(10) || '- +' || ((SELECT count(*) FROM changes) - 20) || ' more' ELSE '' END AS markdown")
+def snk_08_review_markdown(spark, sf_dir):
+    base, head = _two(spark, sf_dir)
+    top = document.listed(_delta(base, head), [F.desc(F.abs("delta_log2")), F.asc("file"), F.asc("symbol")], ["file", "symbol", "classification"], 20)
+    line = lambda x: F.concat(F.lit("- "), x.symbol, F.lit(" ("), x.file, F.lit("): "), x.classification)
+    return top.select(document.markdown(F.col("block.items"), line, F.col("block.more")).alias("markdown"))
+
+
+@query(f"WITH {ctes('mx_nodes', 'mx_edges')} SELECT '  \"' || coalesce(a.file || '/' || a.symbol, '<unresolved:' || e.\"from\" || '>') || '\" -> \"' || coalesce(b.file || '/' || b.symbol, '<unresolved:' || e.\"to\" || '>') || '\" [label=\"' || calls || '\"];' AS line "
+       "FROM mx_edges e LEFT JOIN mx_nodes a ON a.symbol = e.\"from\" LEFT JOIN mx_nodes b ON b.symbol = e.\"to\"")
+def snk_07_dot_lines(spark, sf_dir):
+    names = view(spark, sf_dir, "mx_nodes").select(F.col("symbol").alias("id"), F.concat_ws("/", "file", "symbol").alias("name"))
+    return document.dot(report.labelled_edges(view(spark, sf_dir, "mx_edges"), names))
