@@ -17,21 +17,23 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, partitions
 
 LEAST, COVER, TOP = 30, 80, 2000
 OPENINGS = 512  # an opening with a larger share of the sampled windows than one in so many is dealt out finer
-CHUNK = 12 << 20  # bytes of pieces that DuckDB takes apart at once
-BODY = 8 << 20  # bytes of a bucket's windows that go to DuckDB at once
-MEMORY = "256MB"  # of DuckDB in a task; beyond it DuckDB works on disk
+CHUNK = 8 << 20  # bytes of pieces that DuckDB takes apart at once
+BODY = 4 << 20  # bytes of a bucket's windows that go to DuckDB at once
+BATCH = 4 << 20  # bytes that a task is handed at once
+MEMORY = "192MB"  # of DuckDB in a task; beyond it DuckDB works on disk
 
 
 def _by_bytes(batch: pa.RecordBatch, column: int, most: int):
@@ -217,7 +219,8 @@ def _count(least: int, hot: dict[int, list[tuple[str, str]]]):
             begin()
             at, bodies, size = None, [], 0
             for batch in batches:
-                for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                for k in range(batch.num_rows):  # bodies are large: one at a time
+                    row = tuple(batch.column(c)[k].as_py() for c in range(4))
                     if at is not None and (row[:3] != at or size >= BODY):
                         add(at[1], at[2], bodies)
                         bodies, size = [], 0
@@ -244,6 +247,21 @@ def counts(docs: DataFrame, least: int = LEAST, openings: int = OPENINGS) -> Dat
     return parts.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("size") == 0))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH):
+    """Inside, Arrow batches end at ``most`` bytes. A row here can have many kilobytes, so that the usual number of rows would be a task's whole input."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def cuts(found: DataFrame) -> DataFrame:
     """lang, phrase, a, l, r, score: each candidate with the cut that scores lowest, the earliest of equals.
 
@@ -284,7 +302,8 @@ def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: i
     words add nothing, and an empty table gives an empty one. Repeated rows count as often as they stand there.
     Equal scores are told apart by a, then by the bytes of the phrase.
     """
-    found = cut(counts(docs, least, openings))
+    with small_batches(docs.sparkSession):
+        found = cut(counts(docs, least, openings))
     n = found.where("size = 0").select("lang", F.col("f").alias("n"))
     rows = cuts(found).join(absorbed(found, cover), ["lang", "phrase"], "left_anti")
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))

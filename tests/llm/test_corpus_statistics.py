@@ -215,3 +215,16 @@ def test_collocations_of_large_counts(spark):
 def test_collocations_of_nothing(spark):
     assert phrases.collocations(documents(spark, [])).count() == 0
     assert phrases.collocations(documents(spark, [(1, None, None)])).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def test_tasks_of_phrases_are_handed_few_bytes_at_once(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    rows = spark.range(0, 64, 1, 1).selectExpr("repeat('x', 1048576) AS body")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with phrases.small_batches(spark):
+        got = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert max(got) <= 2 * phrases.BATCH and sum(got) >= 64 << 20 and spark.conf.get(name) == before
